@@ -121,9 +121,9 @@ def rules(p: str = "") -> list[Rule]:
         return F.try_divide(F.col(p + a).cast("double"), F.pow(F.col(p + b).cast("double"), F.lit(power)))
 
     return [
-        Rule("repeats", share("n_repeat_words", "n_words"), 0.12, 0.35),
+        Rule("repeats", share("n_repeat_words", "n_words"), 0.4, 0.5),
         Rule("symbols", share("n_symbols", "n_words"), 0.02, 0.12),
-        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.1, 0.35),
+        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.4, 0.6),
         Rule("capitals", share("n_upper", "n_letters"), 0.12, 0.35),
         Rule("marks", share("n_marks", "n_words"), 0.05, 0.2),
         Rule("long_words", share("word_chars", "n_words"), 9.0, 14.0),
@@ -159,30 +159,55 @@ def measured(docs: DataFrame, p: str = "", columns: list[str] | None = None) ->
     return df.mapInArrow(run, schema)
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over (votes, documents): the share of good
-    documents and, by rule, the chance of a good vote given good and of a bad
-    vote given bad, among votes cast. Chances stay above one half, which tells
-    the two classes apart."""
-    votes = np.array([p for p, _ in patterns], float).reshape(len(patterns), -1)
-    n = np.array([c for _, c in patterns], float)
-    good, bad = votes > 0, votes < 0
-    prior, sens, spec = 0.8, np.full(votes.shape[1], 0.9), np.full(votes.shape[1], 0.7)
-    for _ in range(rounds):
-        p = posterior(votes, prior, sens, spec)
-        w1, w0 = n * p, n * (1 - p)
-        # a few documents' worth of prior belief keeps rare rules sane and 0 and 1 out
-        sens = np.clip((w1 @ good + 9) / (w1 @ (good | bad) + 10), 0.51, 0.999)
-        spec = np.clip((w0 @ bad + 7) / (w0 @ (good | bad) + 10), 0.51, 0.999)
-        prior = float(np.clip((w1.sum() + 8) / (n.sum() + 10), 0.05, 0.95))
-    return prior, sens, spec
+#: Where the estimate starts. Chances of a bad vote, of none and of a good one: by a rule in its own bad class,
+#: by any rule in another bad class, and in the good class; the share of good documents.
+OWN, OTHER, GOOD, START_GOOD = (0.9, 0.05, 0.05), (0.1, 0.1, 0.8), (0.005, 0.095, 0.9), 0.8
+
+#: A rule votes bad in its own bad class at least so often, and in the good class at most so often.
+OWN_LEAST, GOOD_MOST = 0.9, 0.002
+
 
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over (votes, documents): the shares of the
+    classes, and the chances (class, rule, vote) of each vote given the class.
 
-def posterior(votes: np.ndarray, prior: float, sens: np.ndarray, spec: np.ndarray) -> np.ndarray:
-    good, bad = votes > 0, votes < 0
-    l1 = np.log(prior) + good @ np.log(sens) + bad @ np.log1p(-sens)
-    l0 = np.log1p(-prior) + good @ np.log1p(-spec) + bad @ np.log(spec)
-    return 1 / (1 + np.exp(np.clip(l0 - l1, -50, 50)))
+    Class 0 is good; class 1 + k is bad in the way that rule k is made for, as
+    bad texts of one kind pass the rules made for the others. An abstention is
+    a vote with chances of its own. Bounds on two chances tell the classes
+    apart; ten documents' worth of the start keep rare rules sane.
+    """
+    votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), n_rules) + 1
+    n = np.array([c for _, c in patterns], float)
+    cast = (votes[:, :, None] == np.arange(3)).astype(float)
+    r = np.arange(n_rules)
+    start = np.empty((1 + n_rules, n_rules, 3))
+    start[0], start[1:], start[1 + r, r] = GOOD, OTHER, OWN
+    shares = np.concatenate([[START_GOOD], np.full(n_rules, (1 - START_GOOD) / n_rules)])
+    chance = start.copy()
+    for _ in range(rounds if len(patterns) else 0):
+        w = posteriors(votes, shares, chance) * n[:, None]
+        old, chance = chance, (np.einsum("nc,nrv->crv", w, cast) + 10 * start) / (w.sum(0)[:, None, None] + 10)
+        _bound(chance, 0, r, np.minimum(chance[0, :, 0], GOOD_MOST))
+        _bound(chance, 1 + r, r, np.maximum(chance[1 + r, r, 0], OWN_LEAST))
+        shares = (w.sum(0) + 1) / (n.sum() + len(shares))
+        if np.abs(chance - old).max() < 1e-9:
+            break
+    return shares, chance
+
+
+def _bound(chance: np.ndarray, c: int | np.ndarray, r: np.ndarray, bad: np.ndarray) -> None:
+    """Set the chances of a bad vote, and scale those of the other two to the rest."""
+    rest = chance[c, r, 1] + chance[c, r, 2]
+    for v in (1, 2):
+        chance[c, r, v] *= (1 - bad) / rest
+    chance[c, r, 0] = bad
+
+
+def posteriors(votes: np.ndarray, shares: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """(patterns, classes), for votes of 0 (bad), 1 (none) and 2 (good)."""
+    score = np.log(shares) + np.log(chance[:, np.arange(votes.shape[1]), votes]).sum(2).T
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def verdicts(counts: DataFrame, p: str = "", keep: float = KEEP) -> dict[str, Column]:
@@ -194,14 +219,18 @@ def verdicts(counts: DataFrame, p: str = "", keep: float = KEEP) -> dict[str, Co
     rs = rules(p)
     rows = counts.groupBy(F.concat_ws(",", *[r.vote() for r in rs]).alias("votes")).count().collect()  # at most 3**rules
     patterns = [(tuple(map(int, r["votes"].split(","))), r["count"]) for r in sorted(rows)]
-    prior, sens, spec = reliabilities(patterns) if patterns else (0.8, np.full(len(rs), 0.9), np.full(len(rs), 0.7))
-    # log odds are a sum over the votes: an expression, no lookup
-    odds = F.lit(float(np.log(prior) - np.log1p(-prior)))
-    for r, a, b in zip(rs, sens.tolist(), spec.tolist(), strict=True):
-        odds = odds + F.when(r.vote() == 1, float(np.log(a) - np.log1p(-b))).when(r.vote() == -1, float(np.log1p(-a) - np.log(b))).otherwise(0.0)
+    shares, chance = reliabilities(patterns, len(rs))
+    # a class's odds against the good one are a product over the votes: an expression, no lookup
+    against = F.lit(0.0)
+    ratio = np.log(chance / chance[0])
+    for share, of_class in zip(np.log(shares / shares[0]).tolist()[1:], ratio.tolist()[1:], strict=True):
+        score = F.lit(share)
+        for r, (bad, none, good) in zip(rs, of_class, strict=True):
+            score = score + F.when(r.vote() == 1, good).when(r.vote() == -1, bad).otherwise(none)
+        against = against + F.exp(score)
     words, repeats = F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words")
     failed = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATS * words)
-    quality = 1 / (1 + F.exp(-odds))
+    quality = 1 / (1 + against)
     return {"quality": quality, "base_failed": failed, "kept": ~failed & (quality >= keep)}
 
 
