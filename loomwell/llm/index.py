@@ -6,9 +6,9 @@ sorted by distance, and a heap hands out pairs in order of summed distance (the
 multi-sequence walk) until the cells passed hold enough entries. The entries
 are then reranked by the exact measure.
 
-Codebooks are fitted on a bounded sample, but every row is indexed. Cells are
-dealt in blocks of a bounded number of rows, so a cell with a third of all rows
-is many tasks' work.
+Codebooks are fitted on a bounded sample, but every row is indexed. The cells
+of one first centroid are a shelf; shelves are dealt in blocks of a bounded
+number of rows, so a cell with a third of all rows is many tasks' work.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.common import stored
 
 #: Centroids of a half, rows that codebooks are fitted on, rows of a block, share of the rows that a walk passes, and their least number.
-CENTROIDS, SAMPLE, BLOCK, SHARE, LEAST = 32, 20_000, 4096, 0.35, 400
+CENTROIDS, SAMPLE, BLOCK, SHARE, LEAST = 128, 20_000, 4096, 0.4, 400
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -125,44 +125,52 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, s
     for r in indexed.groupBy("cell").count().collect():  # at most centroids**2 rows
         sizes[r["cell"]] = r["count"]
     enough = max(int(n * share), least, k + 1)
-    blocks = -(-sizes // BLOCK)
+    width = len(books.value.second)
+    blocks = np.maximum(-(-sizes.reshape(-1, width).sum(1) // BLOCK), 1)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for row, q in zip(pdf["row"], pdf["v"], strict=True):
-                cells = books.value.walk(np.asarray(q), sizes, enough)
-                cell = np.repeat(np.array(cells, np.int64), blocks[cells])
-                if len(cell):
-                    yield pd.DataFrame({"row": row, "cell": cell.astype(np.int32), "block": np.concatenate([np.arange(blocks[c]) for c in cells]).astype(np.int32)})
-
-    n_blocks = F.lit(BLOCK)
-    block_of = F.pmod(F.xxhash64("row"), F.greatest(F.ceil(F.element_at(F.lit(sizes.tolist()), F.col("cell") + 1) / n_blocks), F.lit(1))).cast("int")
-    entries = indexed.select("vec_id", "v", "row", "cell", block_of.alias("block"))
+                shelf, place = np.divmod(np.array(books.value.walk(np.asarray(q), sizes, enough), np.int64), width)
+                order = np.argsort(shelf, kind="stable")
+                named, first = np.unique(shelf[order], return_index=True)
+                for s, places in zip(named.tolist(), np.split(place[order], first[1:]), strict=True):
+                    out += [(row, s, block, places.tolist()) for block in range(blocks[s])]
+            yield pd.DataFrame(out, columns=["row", "shelf", "block", "places"])
+
+    shelf_of = F.floor(F.col("cell") / width).cast("int")
+    block_of = F.pmod(F.xxhash64("row"), F.element_at(F.lit(blocks.tolist()), shelf_of + 1)).cast("int")
+    entries = indexed.select("vec_id", "v", "row", (F.col("cell") % width).alias("place"), shelf_of.alias("shelf"), block_of.alias("block"))
     queries = indexed.filter(is_query)
-    routed = queries.select("row", "v").mapInPandas(walk, "row long, cell int, block int")
-    asked = routed.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("row", "query_id", "q", "cell", "block")
+    routed = queries.select("row", "v").mapInPandas(walk, "row long, shelf int, block int, places array<int>")
+    asked = routed.join(queries.select("row", F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "row").select("row", "query_id", "q", "shelf", "block", "places")
 
     def rerank(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(have):
             return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         have = have.sort_values("vec_id", kind="stable")
-        v, ids, rows = np.stack(have["v"].to_numpy()), have["vec_id"].to_numpy(), have["row"].to_numpy()
+        v, ids, rows, place = np.stack(have["v"].to_numpy()), have["vec_id"].to_numpy(), have["row"].to_numpy(), have["place"].to_numpy()
         out = []
         for at in range(0, len(ask), 512):  # a bounded score matrix
             part = ask.iloc[at : at + 512]
-            s = np.stack(part["q"].to_numpy()) @ v.T
-            s[part["row"].to_numpy()[:, None] == rows[None, :]] = -np.inf
+            q, row = np.stack(part["q"].to_numpy()), part["row"].to_numpy()
+            passed = np.zeros((len(part), width), bool)
+            for i, places in enumerate(part["places"]):
+                passed[i, places] = True
+            s = q @ v.T
+            s[~passed[:, place] | (row[:, None] == rows[None, :])] = -np.inf
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             r = np.repeat(np.arange(len(part)), top.shape[1])
             top = top.ravel()
             keep = s[r, top] > -np.inf
             r, top = r[keep], top[keep]
             # the score itself, product by product, alike however the matrix product was blocked
-            exact = np.einsum("ij,ij->i", np.stack(part["q"].to_numpy())[r], v[top]) if len(r) else np.zeros(0)
-            out.append(pd.DataFrame({"row": part["row"].to_numpy()[r], "query_id": part["query_id"].to_numpy()[r], "vec_id": ids[top], "score": exact}))
+            exact = np.einsum("ij,ij->i", q[r], v[top]) if len(r) else np.zeros(0)
+            out.append(pd.DataFrame({"row": row[r], "query_id": part["query_id"].to_numpy()[r], "vec_id": ids[top], "score": exact}))
         return pd.concat(out)
 
-    near = asked.groupBy("cell", "block").cogroup(entries.groupBy("cell", "block")).applyInPandas(rerank, "row long, query_id long, vec_id long, score double")
+    near = asked.groupBy("shelf", "block").cogroup(entries.groupBy("shelf", "block")).applyInPandas(rerank, "row long, query_id long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k)
     # k rows at most of each block that a query went to
     ranked = near.groupBy("row", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
