@@ -1,15 +1,637 @@
-"""The registered queries and, for each, the SQL that an independent engine runs."""
+"""The registered queries and, for each, the SQL that an independent engine runs.
+
+Relational operators are SQL over the tables as they are. Log operators run
+over the ``events`` table read as object logs: the object is the user, seq
+counts a user's events, an ``error`` event did not commit, a purchase is a
+debit and any other event a credit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomwell.functions import scalar
+from loomwell.operators import audits, grants, log, placement, polls, txn, wills
+from loomwell.sources import blobs
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, args: dict | None = None) -> DataFrame:
+    """Spark SQL over the tables that the text names."""
+    for t in TABLES:
+        if t in text:
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text, args=args) if args else spark.sql(text)
+
+
+#: The event log as SQL, for both engines.
+LOG_SQL = (
+    "log AS (SELECT concat('u', cast(user_id AS {str})) AS object, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id, event_type, "
+    "CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END * cast(round(value * 100) AS BIGINT) AS amt, event_type <> 'error' AS ok FROM events)"
+)
+SPARK_LOG, DUCK_LOG = LOG_SQL.format(str="STRING"), LOG_SQL.format(str="VARCHAR")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """object, seq, txn, born, kind, payload, ok, amt."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    sign = F.when(F.col("event_type") == "purchase", -1).otherwise(1)
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("object"),
+        F.row_number().over(w).cast("long").alias("seq"),
+        F.col("event_id").alias("txn"),
+        F.col("event_id").alias("born"),
+        F.when(F.col("event_type") == "signup", "snapshot").otherwise("delta").alias("kind"),
+        F.col("event_type").alias("payload"),
+        (F.col("event_type") != "error").alias("ok"),
+        (sign * F.round(F.col("value") * 100).cast("long")).alias("amt"),
+    )
+
+
+def outcomes(entries: DataFrame) -> DataFrame:
+    """A row for each settled transaction; one in seven of the failed is still pending."""
+    return entries.filter("ok or txn % 7 <> 0").select("txn", F.col("ok").alias("committed"))
+
+
+def tx_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(txn, object): orders and the parts that they take one of."""
+    return table(spark, sf_dir, "lineitem").filter("l_quantity = 1").select(F.col("l_orderkey").alias("txn"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("object")).distinct()
+
+
+#: SQL of the operators that need no code: the same text for both engines, or one text for each.
+BOTH: dict[str, str] = {
+    "sc1_object_scan": "SELECT event_id, event_type FROM events WHERE user_id = 7",
+    "sc12_list_objects": "SELECT DISTINCT user_id AS object FROM events",
+    "sc14_values": "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)",
+    "pr1_projection": "SELECT o_orderkey AS k, o_orderstatus, 1 AS one FROM orders",
+    "pr2_arithmetic": "SELECT l_orderkey, l_linenumber, cast(l_quantity AS BIGINT) * 2 - l_linenumber AS x, -l_linenumber AS neg FROM lineitem",
+    "pr3_filter": "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 5 AND l_discount > 0.05 AND l_returnflag = 'R'",
+    "pr4_in_subquery": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    "pr5_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "pr6_scalar_subqueries": "SELECT (SELECT count(*) FROM orders) AS orders_n, (SELECT max(c_custkey) FROM customer) AS last_customer",
+    "pr8_comments": "SELECT n_name -- the name\nFROM nation WHERE n_regionkey = 2",
+    "pr11_between_case": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (20, 30) THEN 'round' ELSE 'other' END AS c FROM part",
+    "pr11_is_distinct": "SELECT count(*) AS n FROM events WHERE event_type IS DISTINCT FROM 'view'",
+    "jn1_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'",
+    "jn1_using": "SELECT a.user_id, count(*) AS n FROM events a JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') b USING (user_id) GROUP BY a.user_id",
+    "jn2_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "jn2_right": "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
+    "jn2_full": "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) a FULL OUTER JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey) b ON a.k = b.k",
+    "jn3_cross": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
+    "jn4_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "jn5_semi": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50)",
+    "jn6_self": "SELECT a.event_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id = a.event_id + 1",
+    "jn6_correlated": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)",
+    "jn7_temp_and_main": "WITH typing AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') SELECT (SELECT count(*) FROM typing) AS typing_n, (SELECT count(*) FROM events) AS events_n",
+    "ag1_count": "SELECT count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events",
+    "ag2_max_coalesce": "SELECT coalesce(max(event_id), 0) AS last_id FROM events WHERE user_id < 0",
+    "ag3_sum": "SELECT user_id, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY user_id",
+    "ag4_counters": "SELECT user_id % 16 AS worker, count(*) AS n, count(DISTINCT user_id) AS objects FROM events GROUP BY user_id % 16",
+    "ag5_having_distinct": "SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_partkey HAVING count(*) > 20",
+    "ag5_filter": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus <> 'F') AS other FROM orders GROUP BY o_orderpriority",
+    "ag7_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "ag7_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "ag9_pricing_summary": "SELECT l_returnflag, l_linestatus, cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS qty, cast(sum(cast(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+    "wn1_ranks": "SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "wn1_percent": "SELECT n_nationkey, percent_rank() OVER (ORDER BY n_regionkey) AS pr, cume_dist() OVER (ORDER BY n_regionkey) AS cd FROM nation",
+    "wn1_lag_lead": "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "wn1_last_nth": "SELECT event_id, last_value(event_id) OVER w AS last_id, nth_value(event_id, 2) OVER w AS second_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "wn2_frames": "SELECT event_id, cast(sum(cast(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s3, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS near FROM events",
+    "so1_order_nulls": "SELECT event_id, event_type FROM events ORDER BY event_type NULLS FIRST, event_id",
+    "so3_offset": "SELECT event_id FROM events ORDER BY event_id LIMIT 10 OFFSET 20",
+    "st1_union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
+    "st1_union": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
+    "st1_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "st1_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
+    "ct1_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM big GROUP BY n",
+    "ct2_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 10) SELECT n, f FROM r",
+    "dm2_insert_once": "SELECT user_id AS k FROM events WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 5000) GROUP BY user_id",
+    "dm3_insert_or_ignore": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) t WHERE rn = 1",
+    "dm4_upsert": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1",
+    "dm5_update": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN cast(round(c_acctbal * 100) AS BIGINT) + 100 ELSE cast(round(c_acctbal * 100) AS BIGINT) END AS cents FROM customer",
+    "dm6_delete": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')",
+    "dm7_claim": "SELECT user_id AS k, min(event_id) AS winner FROM events WHERE event_type = 'click' GROUP BY user_id",
+    "fn1_null_functions": "SELECT event_id, coalesce(nullif(event_type, 'view'), 'none') AS a, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS b FROM events",
+    "fn2_strings": "SELECT n_name, length(n_name) AS len, upper(n_name) AS up, lower(n_name) AS lo, substr(n_name, 2, 3) AS sub, replace(n_name, 'A', '_') AS rep, instr(n_name, 'A') AS at, trim(concat(' ', n_name)) AS tr FROM nation",
+    "fn3_math": "SELECT p_partkey, abs(p_size - 25) AS a, sign(p_size - 25) AS s, floor(p_size / 7.0) AS f, ceil(p_size / 7.0) AS c, p_size % 7 AS m, power(p_size, 2) AS sq FROM part",
+    "fn4_bits": "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS o, ~p_size AS n FROM part",
+}
+
+PAIRS: dict[str, tuple[str, str]] = {
+    "pr11_glob_like": ("SELECT n_name FROM nation WHERE n_name RLIKE '^N.*[0-4]$' OR n_name ILIKE '%ia'", "SELECT n_name FROM nation WHERE n_name GLOB 'N*[0-4]' OR n_name ILIKE '%ia'"),
+    "ag5_group_concat": (
+        "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    ),
+    "ag6_bare_columns": (
+        "SELECT user_id, max(event_id) AS last_id, max_by(event_type, event_id) AS last_type FROM events GROUP BY user_id",
+        "SELECT user_id, max(event_id) AS last_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id",
+    ),
+    "wn3_groups": (
+        "SELECT n_nationkey, cast(sum(n_nationkey) OVER (ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM (SELECT *, dense_rank() OVER (ORDER BY n_regionkey) AS g FROM nation) t",
+        "SELECT n_nationkey, cast(sum(n_nationkey) OVER (ORDER BY n_regionkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM nation",
+    ),
+    "wn3_exclude": (
+        "SELECT event_id, sum(user_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - user_id AS others FROM events",
+        "SELECT event_id, coalesce(cast(sum(user_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT), 0) AS others FROM events",
+    ),
+    "wn4_filter": (
+        "SELECT event_id, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events",
+        "SELECT event_id, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events",
+    ),
+    "fn5_json": ("SELECT event_id, cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, cast(props->>'$.k' AS BIGINT) AS k FROM events"),
+    "fn6_time": (
+        "SELECT event_id, date_format(ts, 'yyyy-MM-dd') AS d, hour(ts) AS h, cast(date_format(date_trunc('month', ts), 'yyyyMMdd') AS INT) AS m FROM events",
+        "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, cast(hour(ts) AS INT) AS h, cast(strftime(date_trunc('month', ts), '%Y%m%d') AS INT) AS m FROM events",
+    ),
+    "sc13_json_each": (
+        "SELECT n_regionkey, j AS v FROM nation LATERAL VIEW explode(from_json(concat('[', n_nationkey, ',', n_regionkey, ']'), 'array<bigint>')) AS j",
+        "SELECT n_regionkey, unnest([cast(n_nationkey AS BIGINT), cast(n_regionkey AS BIGINT)]) AS v FROM nation",
+    ),
+    "ag5_json_array": (
+        "SELECT n_regionkey, to_json(array_sort(collect_list(n_nationkey))) AS js FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, '[' || string_agg(cast(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' AS js FROM nation GROUP BY n_regionkey",
+    ),
+    "ag5_json_object": (
+        "SELECT n_regionkey, to_json(map_from_entries(array_sort(collect_list(struct(n_name, n_nationkey))))) AS js FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS js FROM nation GROUP BY n_regionkey",
+    ),
+}
+
+Query = Callable[[SparkSession, str], DataFrame]
+CODE: dict[str, tuple[Query, str | None]] = {}
+
+
+def code(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query with its SQL under its function's name."""
+
+    def put(f: Query) -> Query:
+        CODE[f.__name__] = (f, oracle)
+        return f
+
+    return put
+
+
+# ---- scans, parameters, results ------------------------------------------------------------
+
+
+@code("SELECT event_id, event_type FROM events WHERE event_id > 50 AND user_id = 3 AND event_id + 50 > 60")
+def pr7_parameters(spark, d):
+    return sql(spark, d, "SELECT event_id, event_type FROM events WHERE event_id > :p1 AND user_id = :p2 AND event_id + :p1 > 60", {"p1": 50, "p2": 3})
+
+
+@code("SELECT n_nationkey AS k, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS js FROM nation")
+def sc15_json_rows(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.to_json(F.struct("n_nationkey", "n_name")).alias("js"))
+
+
+@code("SELECT user_id AS key, min(event_id) AS t, arg_min(event_type, event_id) AS data FROM events GROUP BY user_id")
+def sc6_create_if_absent(spark, d):
+    return blobs.first_writer(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("t"), F.col("event_type").alias("data")))
+
+
+@code("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before = 'view'")
+def sc7_compare_and_swap(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").withColumn("before", F.lag("event_type").over(w)).filter("before = 'view'").select("event_id")
+
+
+@code("SELECT n_name AS key, substr(n_name, 3, 4) AS data FROM nation")
+def sc8_ranged_read(spark, d):
+    df = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_name").cast("binary").alias("data"))
+    return blobs.ranged(df, 2, 4).withColumn("data", F.col("data").cast("string"))
+
+
+@code("SELECT event_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 10")
+def so2_cursor_page(spark, d):
+    return polls.page(table(spark, d, "events").select(F.col("event_id").alias("id")), 100, 10).select(F.col("id").alias("event_id"))
+
+
+@code("SELECT o_orderkey, max(event_id) AS event_id FROM orders JOIN events ON user_id = o_custkey AND event_id <= o_orderkey GROUP BY o_orderkey")
+def jn8_as_of(spark, d):
+    """The latest event of a customer at or before an order, by one window over both sides' rows."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("t"), F.col("o_orderkey"), F.lit(None).cast("long").alias("event_id"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("t"), F.lit(None).cast("long").alias("o_orderkey"), "event_id")
+    w = Window.partitionBy("k").orderBy("t", F.col("o_orderkey").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return o.union(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).filter("o_orderkey is not null and event_id is not null").select("o_orderkey", "event_id")
+
+
+@code("SELECT user_id, event_id FROM events WHERE concat('u', cast(user_id AS VARCHAR)) = 'u12' OR starts_with(concat('u', cast(user_id AS VARCHAR)), 'u13')")
+def jn9_prefix_join(spark, d):
+    e = table(spark, d, "events").withColumn("object", F.concat(F.lit("u"), F.col("user_id").cast("string"))).withColumn("verb", F.lit("read"))
+    g = sql(spark, d, "SELECT * FROM VALUES ('u12', array('read')), ('u13*', array('read')), ('u9*', array('write')) AS t(pattern, verbs)")
+    return grants.allows(e, g).filter("allowed").select("user_id", "event_id")
+
+
+# ---- logs ----------------------------------------------------------------------------------
+
+_OUT = ", o AS (SELECT event_id AS txn, ok AS committed FROM log WHERE ok OR event_id % 7 <> 0), m AS (SELECT log.*, o.committed FROM log LEFT JOIN o ON o.txn = log.event_id)"
+_FOLD = (
+    "WITH " + DUCK_LOG + _OUT + ", bad AS (SELECT object, min(seq) AS s FROM m WHERE committed IS DISTINCT FROM true GROUP BY object), ends AS (SELECT log.object, coalesce(min(bad.s) - 1, max(log.seq)) AS seq FROM log LEFT JOIN bad ON bad.object = log.object GROUP BY log.object) "
+)
+
+
+@code(_FOLD + "SELECT object, cast(0 AS BIGINT) AS base_seq, seq FROM ends")
+def lg4_committed_seq(spark, d):
+    e = event_log(spark, d)
+    return log.committed_seq(e, outcomes(e))
+
+
+@code(
+    _FOLD + ", snap AS (SELECT m.object, max(m.seq) AS at FROM m JOIN ends ON ends.object = m.object AND m.seq <= ends.seq WHERE event_type = 'signup' GROUP BY m.object) "
+    "SELECT ends.object, cast(0 AS BIGINT) AS base_seq, ends.seq, CASE WHEN snap.at IS NULL THEN NULL ELSE 'signup' END AS payload, ends.seq - coalesce(snap.at, 0) AS deltas_after FROM ends LEFT JOIN snap ON snap.object = ends.object"
+)
+def lg3_fold_committed(spark, d):
+    e = event_log(spark, d)
+    return log.fold_committed(e, outcomes(e))
+
+
+@code("WITH " + DUCK_LOG + " SELECT event_id % 500 AS txn, arg_min(ok, event_id) AS committed FROM log GROUP BY event_id % 500")
+def lg2_commit_race(spark, d):
+    return log.commit_race(event_log(spark, d).select((F.col("txn") % 500).alias("txn"), F.col("born").alias("t"), F.col("ok").alias("commit")))
+
+
+@code(
+    "WITH " + DUCK_LOG + _OUT + ", a AS (SELECT *, lag(seq, 1, 0) OVER (PARTITION BY object ORDER BY seq) AS expected FROM m), ends AS (SELECT object, coalesce(min(CASE WHEN committed IS DISTINCT FROM true THEN seq END) - 1, max(seq)) AS s FROM m GROUP BY object) "
+    "SELECT a.object, -1 AS txn, a.expected, CASE WHEN ends.s <> a.expected THEN 'rebase' WHEN committed THEN 'rival' WHEN committed = false THEN 'retake' WHEN a.event_id + 100 - a.event_id <= 50 THEN 'wait' ELSE 'abort_then_retake' END AS decision FROM a JOIN ends ON ends.object = a.object"
+)
+def lg5_prewrite(spark, d):
+    e = event_log(spark, d)
+    m = log.marked(e, outcomes(e))
+    attempts = e.select("object", (F.col("seq") - 1).alias("expected"), F.lit(-1).alias("txn"), (F.col("born") + 100).alias("now"))
+    return log.prewrite(attempts, m.select("object", "seq", "txn", "born", "committed"), log.committed_seq(e, outcomes(e)), 50).select("object", "txn", "expected", "decision")
+
+
+@code("WITH " + DUCK_LOG + " SELECT object, seq FROM log WHERE NOT (event_id % 5 = 0 AND NOT ok)")
+def lg6_clear_entry(spark, d):
+    e = event_log(spark, d)
+    return log.clear_entries(e, outcomes(e), e.filter("txn % 5 = 0")).select("object", "seq")
+
+
+@code(_FOLD + "SELECT object, seq AS base_seq FROM ends WHERE seq >= 8")
+def lg7_compaction(spark, d):
+    e = event_log(spark, d)
+    return log.compaction_due(log.committed_seq(e, outcomes(e)))
+
+
+@code("SELECT p_partkey, CASE WHEN p_size * 4000 < 65536 THEN 'snapshot' WHEN (p_partkey % 20) + 1 > 16 OR p_size * 500 * 3 > p_size * 4000 THEN 'compacting' ELSE 'delta' END AS choice FROM part")
+def lg9_ship_choice(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 4000).alias("size"), (F.col("p_partkey") % 20).alias("chain"), (F.col("p_size") * 500).alias("delta"))
+    return p.select("p_partkey", log.ship_choice().alias("choice"))
+
+
+@code("SELECT n_name AS object, n_name || repeat('x', 10) || upper(n_name) || 'new' AS image FROM nation")
+def lg8_page_diff_apply(spark, d):
+    """Old and new images cut in 8-byte pages, differing pages shipped and applied again."""
+    n = table(spark, d, "nation")
+    old = n.select(F.col("n_name").alias("object"), F.lit(1).alias("version"), F.concat("n_name", F.lit("x" * 10), F.lower("n_name")).cast("binary").alias("image"))
+    new = n.select(F.col("n_name").alias("object"), F.lit(2).alias("version"), F.concat("n_name", F.lit("x" * 10), F.upper("n_name"), F.lit("new")).cast("binary").alias("image"))
+    a, b = log.pages(old, 8), log.pages(new, 8)
+    out = log.page_apply(a, log.page_diff(a, b), new.select("object", F.length("image").alias("length")), 8)
+    return out.select("object", F.col("image").cast("string").alias("image"))
+
+
+# ---- transactions --------------------------------------------------------------------------
+
+
+@code("SELECT l_orderkey AS txn, CASE WHEN count(DISTINCT l_partkey) > 0 AND bool_or(l_linenumber = 7) THEN 'undeclared object' END AS error, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey")
+def tx1_validate(spark, d):
+    li = table(spark, d, "lineitem")
+    obj = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    op = F.when(F.col("l_linenumber") == 7, F.lit("stray")).otherwise(obj)
+    t = li.groupBy(F.col("l_orderkey").alias("txn")).agg(F.collect_list(obj).alias("objects"), F.collect_list(F.struct(op.alias("object"))).alias("ops"))
+    return txn.validate(t).select("txn", "error", F.size("participants").cast("long").alias("n"))
+
+
+@code(
+    "WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS p FROM lineitem WHERE l_quantity = 1), e AS (SELECT DISTINCT a.t AS x, b.t AS y FROM g a JOIN g b ON a.p = b.p), "
+    "r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS txn, min(y) AS component FROM r GROUP BY x"
+)
+def tx6_components(spark, d):
+    return txn.transaction_components(tx_graph(spark, d))
+
+
+@code(
+    "WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS p FROM lineitem WHERE l_quantity = 1), e AS (SELECT DISTINCT a.t AS x, b.t AS y FROM g a JOIN g b ON a.p = b.p), "
+    "r(y) AS (SELECT t FROM g WHERE p % 10 = 3 UNION SELECT e.y FROM r JOIN e ON e.x = r.y) SELECT DISTINCT y AS txn FROM r"
+)
+def tx8_revert_closure(spark, d):
+    g = tx_graph(spark, d)
+    return txn.revert_closure(g, g.filter("object like '%3'").select("object"))
+
+
+@code()
+def tx7_boat_cut(spark, d):
+    items = table(spark, d, "events").select((F.col("user_id") % 16).alias("worker"), F.col("event_id").alias("pos"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
+    return txn.boat_cut(items, 100_000)
+
+
+@code()
+def tx2_replay_transfers(spark, d):
+    o = tx_transfers(spark, d)
+    return txn.replay_transfers(o, 100)
+
+
+def tx_transfers(spark, d):
+    """Transfers between accounts in groups of eight, so components stay small."""
+    o = table(spark, d, "orders")
+    group = F.col("o_custkey") - F.col("o_custkey") % 8
+    return o.select(F.col("o_orderkey").alias("txn"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("src"), (group + (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7) % 8).alias("dst"), (F.col("o_orderkey") % 60).alias("amt"))
+
+
+@code("WITH " + DUCK_LOG + " SELECT object, seq, CASE WHEN event_type IN ('view','click') AND sum(abs(amt)) OVER w <= 20000 THEN 'at once' ELSE 'with the boat' END AS ack, count(*) FILTER (WHERE event_type NOT IN ('view','click')) OVER w AS barrier FROM log WINDOW w AS (PARTITION BY object ORDER BY seq)")
+def tx4_acks(spark, d):
+    e = event_log(spark, d).select(F.col("object").alias("worker"), "seq", F.abs("amt").alias("bytes"), F.col("payload").isin("view", "click").alias("optimistic"))
+    return txn.acks(e, 20_000).select(F.col("worker").alias("object"), "seq", "ack", "barrier")
+
+
+@code("SELECT l_partkey AS object, l_orderkey AS txn, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS position FROM lineitem")
+def tx5_admission(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("txn"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("arrival"))
+    return txn.admission(li).select("object", "txn", "position")
+
+
+@code("SELECT o_custkey AS object FROM orders GROUP BY o_custkey HAVING max(o_orderkey) > 1000")
+def tx3_changed_set(spark, d):
+    o = table(spark, d, "orders")
+    h = F.max("o_orderkey").alias("hash")
+    after = o.groupBy(F.col("o_custkey").alias("object")).agg(h)
+    before = o.filter("o_orderkey <= 1000").groupBy(F.col("o_custkey").alias("object")).agg(h)
+    return txn.changed(before, after)
+
+
+@code("SELECT user_id AS object, event_type AS k FROM events EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 5 = 0")
+def tx9_content_fence(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("object"), F.col("event_type").alias("k"), "event_id")
+    return txn.content_fence(e, e.filter("event_id % 5 = 0"))
+
+
+# ---- live queries, wills, grants -----------------------------------------------------------
+
+
+@code("SELECT user_id AS object, event_id AS version FROM (SELECT *, lag(event_type) OVER w AS was, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) t WHERE event_type IS DISTINCT FROM was OR rn = 1")
+def pl2_change_detection(spark, d):
+    v = table(spark, d, "events").select(F.col("user_id").alias("object"), F.col("event_id").alias("version"), F.xxhash64("event_type").alias("hash"))
+    return polls.change_fires(v).select("object", "version")
+
+
+@code("SELECT user_id AS object, count(*) AS rows FROM events WHERE event_type = 'error' GROUP BY user_id")
+def pl1_condition(spark, d):
+    v = table(spark, d, "events").groupBy(F.col("user_id").alias("object")).agg(F.count_if(F.col("event_type") == "error").alias("rows"))
+    return polls.condition_fires(v)
+
+
+@code("SELECT user_id AS feed, cast(floor((rn - 1) / 8.0) AS BIGINT) AS page, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS rows FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) t GROUP BY user_id, floor((rn - 1) / 8.0)")
+def pl7_cursor_pages(spark, d):
+    return polls.pages(table(spark, d, "events").select(F.col("user_id").alias("feed"), F.col("event_id").alias("id")), 8)
+
+
+def _wills(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_name").alias("session"), (F.col("c_custkey") % 100).alias("deadline"), (F.col("c_custkey") % 30).alias("claim_deadline"), F.when(F.col("c_custkey") % 11 == 0, "garbage").otherwise('{"ops":[]}').alias("payload"))
+
+
+@code("SELECT c_name AS session FROM customer WHERE c_custkey % 100 < 50 AND c_custkey % 30 < 50 AND c_custkey % 11 <> 0")
+def wl3_sweep(spark, d):
+    return wills.fire(_wills(spark, d), 50)[0].select("session")
+
+
+@code("SELECT c_name AS session, CASE WHEN c_nationkey = 3 THEN 500 ELSE c_custkey % 100 END AS deadline FROM customer")
+def wl2_refresh(spark, d):
+    live = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_name").alias("session"))
+    return wills.refresh(_wills(spark, d), live, 500).select("session", F.col("deadline").cast("long").alias("deadline"))
+
+
+@code("SELECT c_name AS session, CASE WHEN c_custkey % 2 = 0 THEN 900 ELSE c_custkey % 100 END AS deadline FROM customer WHERE c_custkey % 6 <> 0")
+def wl1_arm(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey % 2 = 0")
+    armed = c.select(F.col("c_name").alias("session"), F.lit(1).alias("at"), F.lit(900).cast("long").alias("deadline"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("{}").alias("payload"))
+    return wills.arm(_wills(spark, d), armed).select("session", F.col("deadline").cast("long").alias("deadline"))
+
+
+@code("SELECT n_name AS object, CASE WHEN n_name = 'NATION_3' OR (starts_with(n_name, 'NATION_1')) THEN true ELSE false END AS allowed FROM nation")
+def gr2_allows(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("object"), F.lit("insert").alias("verb"))
+    g = sql(spark, d, "SELECT * FROM VALUES ('NATION_3', array('insert')), ('NATION_1*', array('write')), ('NATION_2*', array('read', 'poll')), ('N*X', array('write')) AS t(pattern, verbs)")
+    return grants.allows(n, g).select("object", "allowed")
+
+
+@code(
+    "SELECT a AS action, CASE WHEN a IN ('select','function','transaction','savepoint','recursive') THEN true WHEN a IN ('pragma','attach','detach') THEN false WHEN a IN ('insert','read') THEN true ELSE false END AS allowed FROM (VALUES ('select'),('function'),('transaction'),('savepoint'),('recursive'),('pragma'),('attach'),('detach'),('insert'),('update'),('delete'),('read'),('create_table')) t(a)"
+)
+def gr4_action_gate(spark, d):
+    actions = spark.createDataFrame([(a,) for a in ("select", "function", "transaction", "savepoint", "recursive", "pragma", "attach", "detach", "insert", "update", "delete", "read", "create_table")], "action string")
+    return actions.withColumn("allowed", grants.gate(F.col("action"), F.array(F.lit("insert"))))
+
+
+# ---- placement -----------------------------------------------------------------------------
+
+_FNV = "list_reduce([cast(14695981039346656037 AS HUGEINT)] || list_transform(range(1, length({o}) + 1), lambda i: cast(ascii(substr({o}, i, 1)) AS HUGEINT)), lambda h, b: ((h - h % 256 + xor(cast(h % 256 AS INT), cast(b AS INT))) * 1099511628211) % 18446744073709551616)"
+
+
+@code("SELECT n_name AS object, cast(" + _FNV.format(o="n_name") + " % 4096 AS BIGINT) AS worker FROM nation")
+def rt1_default_worker(spark, d):
+    return table(spark, d, "nation").select(F.col("n_name").alias("object"), scalar.default_worker(F.col("n_name"), 4096).alias("worker"))
+
+
+@code("SELECT n_name AS object, CASE WHEN n_nationkey < 5 THEN 77 ELSE cast(" + _FNV.format(o="n_name") + " % 4096 AS BIGINT) END AS worker FROM nation")
+def rt1_owner(spark, d):
+    n = table(spark, d, "nation")
+    return placement.owner(n.select(F.col("n_name").alias("object")), n.filter("n_nationkey < 5").select(F.col("n_name").alias("object"), F.lit(77).cast("long").alias("worker")), 4096)
+
+
+@code(
+    "WITH v AS (SELECT l_orderkey AS txn, l_suppkey % 16 AS worker, count(*) AS n FROM lineitem GROUP BY 1, 2), ld AS (SELECT s_suppkey % 16 AS worker, count(*) AS e FROM supplier GROUP BY 1) "
+    "SELECT txn, worker FROM (SELECT v.txn, v.worker, row_number() OVER (PARTITION BY txn ORDER BY n DESC, coalesce(e, 0), v.worker) AS rn FROM v LEFT JOIN ld ON ld.worker = v.worker) t WHERE rn = 1"
+)
+def rt2_plurality(spark, d):
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn"), F.col("l_partkey").alias("object"), (F.col("l_suppkey") % 16).alias("worker"))
+    load = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 16).alias("worker")).agg(F.count("*").alias("exceptions"))
+    return placement.plurality_target(parts, load)
+
+
+@code("WITH p AS (SELECT c_nationkey AS worker, count(*) AS exceptions FROM customer WHERE c_acctbal > 5000 GROUP BY 1) SELECT worker, exceptions, exceptions >= greatest(4, cast(floor(2 * (SELECT sum(exceptions) FROM p) / 25.0) AS BIGINT)) AS crowded FROM p")
+def rt3_crowded(spark, d):
+    return placement.crowded(table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("worker")), 25)
+
+
+@code(
+    "WITH t AS (SELECT user_id AS object, event_id AS tick, event_id % 3 AS worker FROM events), f AS (SELECT *, CASE WHEN lag(worker) OVER w = worker AND tick - lag(tick) OVER w <= 1000 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY object ORDER BY tick)), "
+    "i AS (SELECT *, sum(fresh) OVER (PARTITION BY object ORDER BY tick) AS island FROM f), v AS (SELECT object, tick, row_number() OVER (PARTITION BY object, island ORDER BY tick) AS visits FROM i) SELECT object, tick, visits, visits >= 3 AS rehome FROM v"
+)
+def rt4_visits(spark, d):
+    deeds = table(spark, d, "events").select(F.col("user_id").alias("object"), F.col("event_id").alias("tick"), (F.col("event_id") % 3).alias("worker"))
+    return placement.visits(deeds).select("object", "tick", "visits", "rehome")
+
+
+@code("SELECT o_orderkey, greatest(o_custkey % 9, o_orderkey % 5, 0) + 1 AS next_generation, (o_orderstatus = 'P' OR o_orderkey - o_custkey >= 200) AS settled FROM orders")
+def rt5_release(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 9).alias("generation"), (F.col("o_orderkey") % 5).alias("transit_generation"), F.col("o_custkey").alias("arrived_at"), (F.col("o_orderstatus") == "P").alias("travelling"))
+    return placement.release(o).select("o_orderkey", F.col("next_generation").cast("long").alias("next_generation"), "settled")
+
+
+@code("SELECT object, worker, generation, owned FROM (SELECT l_partkey AS object, l_suppkey AS worker, l_orderkey % 50 AS generation, l_linenumber % 2 = 0 AS owned, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey % 50 DESC, l_linenumber % 2 = 0 DESC, l_suppkey) AS rn FROM lineitem) t WHERE rn = 1")
+def rt7_best_claim(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_suppkey").alias("worker"), (F.col("l_orderkey") % 50).alias("generation"), (F.col("l_linenumber") % 2 == 0).alias("owned"))
+    return placement.best_claim(c)
+
+
+@code("SELECT user_id % 64 AS block, max(event_id) AS epoch, arg_max(user_id, event_id) AS holder, bool_or(event_type = 'error' AND event_id = m) AS released FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id % 64) AS m FROM events) t GROUP BY user_id % 64")
+def rt9_leases(spark, d):
+    e = table(spark, d, "events")
+    leases = e.select((F.col("user_id") % 64).alias("block"), F.col("event_id").alias("epoch"), F.col("user_id").alias("holder"))
+    return placement.lease_holders(leases, e.filter("event_type = 'error'").select((F.col("user_id") % 64).alias("block"), F.col("event_id").alias("epoch")))
+
+
+@code("SELECT b AS block FROM (SELECT user_id % 64 AS b, max(event_id) AS m, min(event_id) AS mine FROM events GROUP BY 1) t WHERE m > mine")
+def rt10_superseded(spark, d):
+    leases = table(spark, d, "events").select((F.col("user_id") % 64).alias("block"), F.col("event_id").alias("epoch"))
+    return placement.superseded(leases.groupBy("block").agg(F.min("epoch").alias("epoch")), leases)
+
+
+@code("SELECT n_nationkey AS object, cast(n_nationkey % 4 + least(8, n_regionkey * 3) AS BIGINT) AS worker, cast(least(8, n_regionkey * 3) AS INT) AS hops FROM nation")
+def rt11_take_chase(spark, d):
+    """Each nation's hints lead from worker to worker, three for each region number; eight are followed at most."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("object"), (F.col("n_nationkey") % 4).cast("long").alias("worker"), (F.col("n_regionkey") * 3).alias("steps"))
+    hints = n.filter("steps > 0").select("object", "worker", F.explode(F.sequence(F.lit(0), F.col("steps") - 1)).alias("s")).select("object", (F.col("worker") + F.col("s")).alias("worker"), (F.col("worker") + F.col("s") + 1).alias("next"))
+    return placement.chase(hints, n)
+
+
+@code("SELECT p_partkey AS worker, cast(floor(p_partkey * 256 / 4096.0) AS BIGINT) AS block, cast(ceil(floor(p_partkey * 256 / 4096.0) * 4096 / 256.0) AS BIGINT) AS lo FROM part")
+def rt12_blocks(spark, d):
+    b = placement.block_of(F.col("p_partkey"), 256, 4096)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("worker"), b.alias("block"), placement.block_range(b, 256, 4096)[0].alias("lo"))
+
+
+@code(
+    "SELECT l_orderkey % 8 AS worker, file, e AS evicted FROM (SELECT l_orderkey, l_orderkey * 10 + l_linenumber AS file, c AND u - coalesce(sum(b) OVER (PARTITION BY l_orderkey % 8, c ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 5000 AS e "
+    "FROM (SELECT *, l_returnflag <> 'R' AS c, cast(l_quantity AS BIGINT) AS b, sum(cast(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey % 8) AS u FROM lineitem) x) t"
+)
+def rs2_disk_ledger(spark, d):
+    key = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"), "l_partkey", "l_suppkey", "l_extendedprice")
+    files = table(spark, d, "lineitem").select((F.col("l_orderkey") % 8).alias("worker"), key.alias("file"), F.col("l_quantity").cast("long").alias("bytes"), F.col("l_shipdate").alias("touched"), (F.col("l_returnflag") != "R").alias("cache"))
+    return placement.evict(files, 5000).select("worker", F.col("file")["f"].alias("file"), "evicted")
+
+
+@code("SELECT user_id % 16 AS worker, count(*) AS txns, count(*) FILTER (WHERE event_type = 'error') AS failed, count(DISTINCT user_id) AS objects, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY user_id % 16")
+def st1s_stats(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy((F.col("user_id") % 16).alias("worker")).agg(F.count("*").alias("txns"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_distinct("user_id").alias("objects"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("bytes"))
+
+
+# ---- audits --------------------------------------------------------------------------------
+
+
+@code("WITH legs AS (SELECT o_orderkey AS k, -(o_orderkey % 60) AS amt FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 60 FROM orders WHERE o_orderkey % 13 <> 0) SELECT k, count(*) AS legs, cast(sum(amt) AS BIGINT) AS net, count(*) FILTER (WHERE amt < 0) AS debits FROM legs GROUP BY k HAVING count(*) <> 2 OR sum(amt) <> 0 OR count(*) FILTER (WHERE amt < 0) <> 1")
+def df18_torn_transfers(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 60).alias("amt"))
+    return audits.torn_transfers(o.select("k", (-F.col("amt")).alias("amt")).union(o.filter("k % 13 <> 0")))
+
+
+@code("SELECT count(*) AS accounts, cast(sum(cast(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS total, count(*) * 100 AS expected, sum(cast(round(c_acctbal * 100) AS BIGINT)) = count(*) * 100 AS ok FROM customer")
+def df18_conserved(spark, d):
+    return audits.conserved(table(spark, d, "customer").select(F.round(F.col("c_acctbal") * 100).cast("long").alias("balance")), 100)
+
+
+@code("SELECT cast((SELECT sum(cast(round(c_acctbal * 100) AS BIGINT)) FROM customer) AS BIGINT) AS held, cast((SELECT sum(cast(round(s_acctbal * 100) AS BIGINT)) FROM supplier) AS BIGINT) AS issued, false AS ok")
+def df19_supply(spark, d):
+    return audits.supply(table(spark, d, "customer").select(F.round(F.col("c_acctbal") * 100).cast("long").alias("balance")), table(spark, d, "supplier").select(F.round(F.col("s_acctbal") * 100).cast("long").alias("amt")))
+
+
+@code(
+    "WITH op AS (SELECT o_orderkey AS saga, o_custkey AS payee, o_custkey + 1 AS funder, o_orderkey % 4 AS amt FROM orders WHERE o_orderkey % 17 <> 0), st AS (SELECT l_orderkey AS saga, CASE WHEN l_returnflag = 'R' THEN 'refund' ELSE 'release' END AS dir FROM lineitem WHERE l_linenumber = 1), "
+    "cr AS (SELECT o_orderkey AS saga, o_custkey AS party, o_orderkey % 4 AS amt FROM orders) "
+    "SELECT saga, 'settled twice' AS fault FROM st GROUP BY saga HAVING count(*) > 1 UNION ALL SELECT DISTINCT saga, 'never opened' FROM st WHERE saga NOT IN (SELECT saga FROM op) "
+    "UNION ALL SELECT DISTINCT st.saga, 'not credited' FROM st JOIN op ON op.saga = st.saga WHERE NOT EXISTS (SELECT 1 FROM cr WHERE cr.saga = st.saga AND cr.amt = op.amt AND cr.party = CASE WHEN st.dir = 'release' THEN op.payee ELSE op.funder END)"
+)
+def df20_escrow(spark, d):
+    o = table(spark, d, "orders")
+    amt = (F.col("o_orderkey") % 4).alias("amt")
+    opened = o.filter("o_orderkey % 17 <> 0").select(F.col("o_orderkey").alias("saga"), F.col("o_custkey").alias("payee"), (F.col("o_custkey") + 1).alias("funder"), amt)
+    st = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("saga"), F.when(F.col("l_returnflag") == "R", "refund").otherwise("release").alias("dir"))
+    return audits.escrow_faults(opened, st, o.select(F.col("o_orderkey").alias("saga"), F.col("o_custkey").alias("party"), amt))
+
+
+@code("WITH n AS (SELECT c_custkey AS object, 10 AS n FROM customer), r AS (SELECT o_custkey AS object, count(DISTINCT o_orderkey) AS real FROM orders GROUP BY 1) SELECT coalesce(n.object, r.object) AS object, n, real FROM n FULL JOIN r ON n.object = r.object WHERE coalesce(n, 0) <> coalesce(real, 0)")
+def df21_counters(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("object"), F.lit(10).alias("n"))
+    return audits.counter_faults(c, table(spark, d, "orders").select(F.col("o_custkey").alias("object"), F.col("o_orderkey").alias("k")))
+
+
+@code(
+    "WITH f AS (SELECT event_id AS id, event_id AS k FROM events WHERE event_id % 10 <> 9), dl AS (SELECT concat('c', cast(user_id % 3 AS VARCHAR)) AS consumer, event_id AS pos, CASE WHEN event_id % 97 = 0 THEN event_id - 50 ELSE event_id END AS id, event_id AS k, user_id % 2 = 0 AS durable FROM events WHERE event_id % 20 <> 1) "
+    "SELECT 'missed' AS fault, NULL AS consumer, id FROM f WHERE k NOT IN (SELECT k FROM dl) UNION ALL SELECT 'phantom', consumer, id FROM dl WHERE durable AND NOT EXISTS (SELECT 1 FROM f WHERE f.id = dl.id AND f.k = dl.k) "
+    "UNION ALL SELECT 'order', consumer, id FROM (SELECT *, lag(id) OVER (PARTITION BY consumer ORDER BY pos) AS was FROM dl) t WHERE was >= id"
+)
+def df22_feed(spark, d):
+    e = table(spark, d, "events")
+    final = e.filter("event_id % 10 <> 9").select(F.col("event_id").alias("id"), F.col("event_id").alias("k"))
+    dl = e.filter("event_id % 20 <> 1").select(F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("consumer"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 97 == 0, F.col("event_id") - 50).otherwise(F.col("event_id")).alias("id"), F.col("event_id").alias("k"), (F.col("user_id") % 2 == 0).alias("durable"))
+    return audits.feed_faults(final, dl)
+
+
+@code("SELECT c_custkey AS k, 'never ran' AS fault FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, 'not armed' FROM orders WHERE o_totalprice > 300000 AND o_custkey % 3 = 0")
+def df24_wills_audit(spark, d):
+    return audits.will_faults(table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k")))
+
+
+@code("SELECT event_id AS k FROM events WHERE event_type <> 'error' AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 50 <> 3)")
+def df25_subscribers(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("k"), "event_type")
+    return audits.lost(e.filter("event_type <> 'error'"), e.filter("k % 50 <> 3"))
+
+
+@code(
+    "SELECT 'not_null(o_custkey)' AS constraint, count(*) FILTER (WHERE o_custkey IS NULL) AS rows FROM orders UNION ALL SELECT 'check(price)', count(*) FILTER (WHERE NOT o_totalprice >= 1000) FROM orders UNION ALL SELECT 'unique(o_orderkey)', 0 UNION ALL SELECT 'references(o_custkey)', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)"
+)
+def df17_constraints(spark, d):
+    parent = table(spark, d, "customer").filter("c_custkey % 5 <> 0").select("c_custkey")
+    return audits.constraint_faults(table(spark, d, "orders"), "o_orderkey", ["o_custkey"], {"price": "o_totalprice >= 1000"}, parent, "o_custkey")
+
+
+@code("WITH " + DUCK_LOG + " SELECT object, cast(sum(amt) FILTER (WHERE ok) AS BIGINT) AS balance, cast(coalesce(sum(amt) FILTER (WHERE NOT ok), 0) AS BIGINT) AS rolled_back FROM log GROUP BY object")
+def dm5_commutative_replay(spark, d):
+    """Unguarded updates commute, so their replay is a sum."""
+    return event_log(spark, d).groupBy("object").agg(F.sum(F.when(F.col("ok"), F.col("amt"))).alias("balance"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("amt"))), F.lit(0)).alias("rolled_back"))
+
+
+@code("SELECT p_partkey, p_size // 7 AS q, p_size % 7 AS r, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey // (p_size % 7) END AS by_zero, least(p_size, p_partkey) AS lo FROM part")
+def fn7_integer_semantics(spark, d):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", scalar.int_div(s, F.lit(7)).alias("q"), scalar.int_mod(s, F.lit(7)).alias("r"), scalar.int_div(k, s % 7).alias("by_zero"), scalar.least_of(s, k).alias("lo"))
+
+
+@code("SELECT user_id, count(*) AS n, cast(floor(epoch(min(ts))) AS BIGINT) AS first_s FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s")
+def st_sessions(spark, d):
+    """Sessions of a user with gaps under an hour, as the streaming operator makes them."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.unix_timestamp(F.min("ts")).alias("first_s")).select("user_id", "n", "first_s")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    for name, text in BOTH.items():
+        out[name] = lambda spark, d, text=text: sql(spark, d, text)
+    for name, (text, _) in PAIRS.items():
+        out[name] = lambda spark, d, text=text: sql(spark, d, text)
+    for name, (f, _) in CODE.items():
+        out[name] = f
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = dict(BOTH)
+    out |= {name: text for name, (_, text) in PAIRS.items()}
+    out |= {name: text for name, (_, text) in CODE.items() if text is not None}
+    return out
