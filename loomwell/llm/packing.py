@@ -13,7 +13,7 @@ once more.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,16 +117,8 @@ def pack(items: DataFrame, length: int = LENGTH, shard: int = SHARD, rounds: int
     for k in range(rounds):
         n = max(1, -(-todo.count() // shard))
 
-        def run(pdf: pd.DataFrame, k: int = k) -> pd.DataFrame:
-            pdf = pdf.sort_values("length", ascending=False, kind="stable").reset_index(drop=True)
-            where, offset, fill = sum_of_squares(pdf["length"].to_numpy(), length, open_only=True)
-            head = (int(pdf["__shard"].iloc[0]) << 34) + (k << 60)
-            out = pdf.drop(columns="__shard").assign(sequence_id=where + head, offset=offset)
-            out["full"] = fill[where] == length
-            return out
-
         dealt = todo.withColumn("__shard", F.pmod(F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in todo.columns]), F.lit(n)))
-        packed = dealt.groupBy("__shard").applyInPandas(run, schema + ", full boolean")
+        packed = dealt.groupBy("__shard").applyInPandas(_packer(length, k), schema + ", full boolean")
         if k == rounds - 1 or n == 1:
             done.append(packed.drop("full"))
             break
@@ -139,6 +131,20 @@ def pack(items: DataFrame, length: int = LENGTH, shard: int = SHARD, rounds: int
     return out
 
 
+def _packer(length: int, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs a shard in round ``k``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("length", ascending=False, kind="stable").reset_index(drop=True)
+        where, offset, fill = sum_of_squares(pdf["length"].to_numpy(), length, open_only=True)
+        head = (int(pdf["__shard"].iloc[0]) << 34) + (k << 60)
+        out = pdf.drop(columns="__shard").assign(sequence_id=where + head, offset=offset)
+        out["full"] = fill[where] == length
+        return out
+
+    return run
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves, of pieces made ``with_ids``: sequence_id, ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
