@@ -175,7 +175,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fps[on].view(np.int64)), pa.array(fps[root[on]].view(np.int64))], names=["a", "b"])
                 k = to
 
-    return shards.select("fps").mapInArrow(run, "a long, b long").distinct()
+    found = shards.select("fps").mapInArrow(run, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -64,7 +64,9 @@ def test_pii_query(spark, data, docs):
     want = {i: hashlib.sha256(",".join(base(t)).encode()).hexdigest() for i, t in texts(docs).items()}
     got = queries()["op1_pii"](spark, data).collect()
     assert {r["doc_id"]: r["base_sha256"] for r in got} == want
-    assert any(r["n_email"] for r in got) and any("secret:" in r["spans"] for r in got)
+    assert any(r["n_email"] for r in got)
+    df = spark.createDataFrame([(i, f"and token = \"{i:016x}{i * 7919 % 100003:08x}\" of anthrererendanhe") for i in range(40)], "doc_id long, text string")
+    assert pii.find(df).filter("size(spans) = 1").count() == 40
 
 
 def test_pii_patterns_never_backtrack_and_agree(spark):
@@ -307,9 +309,9 @@ def test_packing(spark, data, docs, library):
 
 def check_packed(got, length):
     g = got.sort_values(["sequence_id", "offset"])
-    end = g.offset + g.length
-    first = g.sequence_id != g.sequence_id.shift()
-    assert (g.offset[first] == 0).all() and (g.offset[~first] == end.shift()[~first]).all() and end.max() <= length
+    seq, at, end = g.sequence_id.to_numpy(), g.offset.to_numpy(), (g.offset + g.length).to_numpy()
+    first = np.append(True, seq[1:] != seq[:-1])
+    assert (at[first] == 0).all() and (at[1:] == end[:-1])[~first[1:]].all() and end.max() <= length
 
 
 def test_packing_in_small_shards(spark, odd, none):
@@ -360,7 +362,7 @@ def slow_removed(raw, length):
             if seen[x[k : k + length]] > 1:
                 m[k : k + length] = b"\1" * length
         kept = bytes(b for b, f in zip(x, m, strict=True) if not f)
-        out.append((i, len(x), sum(m), len(re.findall(rb"\1+", bytes(m))), kept))
+        out.append((i, len(x), sum(m), len(re.findall(b"\x01+", bytes(m))), kept))
     return out
 
 
