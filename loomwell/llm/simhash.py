@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -207,17 +207,18 @@ def hexed(fp: Column) -> Column:
 
 def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the least (doc_id, text
-    hash), nulls last; rows that repeat both are told apart by a number.
+    hash), nulls last; of rows that repeat both any one.
 
-    Only ids, hashes and fingerprints are compared; the texts are shuffled once.
+    Only ids, hashes and fingerprints are compared; the texts are shuffled once,
+    as the join and the choice among repeated rows deal by the same key.
     """
     p = own_prefix(docs)
-    numbered = docs.withColumns({f"{p}n": F.monotonically_increasing_id(), f"{p}h": F.xxhash64("text")})
-    fps = stored(fingerprints(docs.withColumns({"doc_id": F.struct("doc_id", F.xxhash64("text").alias("h"))})).select(F.col("doc_id")["doc_id"].alias("doc_id"), F.col("doc_id")["h"].alias("h"), "fp"), "simhash-fps")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    least = fps.groupBy("fp").agg(F.min(order).alias("least"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.xxhash64("text").cast("string"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    fps = stored(fingerprints(docs.select(order.alias("doc_id"), "text")), "simhash-fps")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(components(fps, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["doc_id"].alias(f"{p}i"), F.col("least")["h"].alias(f"{p}h"))
-    stay = stored(stay, "simhash-kept")
-    found = numbered.join(stay, (numbered["doc_id"].eqNullSafe(stay[f"{p}i"])) & (numbered[f"{p}h"] == stay[f"{p}h"]), "left_semi")
-    return found.dropDuplicates(["doc_id", f"{p}h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["key"].alias(f"{p}key")), "simhash-kept")
+    found = docs.withColumn(f"{p}key", key).join(stay, f"{p}key", "left_semi")
+    first = F.row_number().over(Window.partitionBy(f"{p}key").orderBy(f"{p}key"))
+    return found.withColumn(f"{p}first", first).filter(F.col(f"{p}first") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
