@@ -7,7 +7,7 @@ bases: object, base_seq
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entries of one object that one group holds at most.
@@ -120,3 +120,48 @@ def page_apply(old: DataFrame, delta: DataFrame, lengths: DataFrame, page_size:
     parts = last.groupBy("object", "length").agg(F.array_sort(F.collect_list(F.struct("page_no", "bytes"))).alias("p"))
     whole = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["bytes"]))
     return parts.select("object", F.substring(whole, F.lit(1), F.col("length")).alias("image"))
+
+
+#: Fixed values of the entry format: tags of the payload's kind.
+TAGS = {"snapshot": 0, "delta": 1}
+
+
+def encode_entry(kind: Column, born: Column, txn: Column, payload: Column) -> Column:
+    """One entry as bytes: tag, born (8, big-endian), length of txn (2), txn, payload."""
+
+    def wide(n: Column, width: int) -> Column:
+        return F.unhex(F.lpad(F.hex(n.cast("long")), width, "0"))
+
+    return F.concat(wide(F.when(kind == "snapshot", 0).otherwise(1), 2), wide(born, 16), wide(F.octet_length(txn), 4), txn.cast("binary"), payload)
+
+
+def decode_entry(b: Column) -> Column:
+    """struct(kind, born, txn, payload); null for bytes that are no entry."""
+
+    def number(at: int, width: int) -> Column:
+        return F.conv(F.hex(F.substring(b, F.lit(at), F.lit(width))), 16, 10).cast("long")
+
+    n = number(10, 2).cast("int")
+    kind = F.when(number(1, 1) == 0, "snapshot").when(number(1, 1) == 1, "delta")
+    txn = F.substring(b, F.lit(12), n).cast("string")
+    whole = F.struct(kind.alias("kind"), number(2, 8).alias("born"), txn.alias("txn"), F.substring(b, n + 12, F.octet_length(b)).alias("payload"))
+    return F.when((F.octet_length(b) >= 11) & (F.octet_length(b) >= 11 + n) & kind.isNotNull(), whole)
+
+
+def roll_forward(durable: DataFrame, records: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recovery of the delta engine. ``durable`` (object, counter), committed
+    ``records`` (txn, object, counter) and ``staged`` (txn, object): the objects'
+    counters after replay, which never go back, and the orphans to delete."""
+    after = durable.select("object", "counter").union(records.select("object", "counter")).groupBy("object").agg(F.max("counter").alias("counter"))
+    return after, staged.join(records.select("txn").distinct(), "txn", "left_anti")
+
+
+def live_view(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Entries that a read through the owner sees: committed or still pending."""
+    return marked(entries, outcomes).filter("committed is null or committed")
+
+
+def durable_view(entries: DataFrame, outcomes: DataFrame, bases: DataFrame | None = None) -> DataFrame:
+    """Entries that a read past the owner sees: the committed prefix."""
+    ends = committed_seq(entries, outcomes, bases).select("object", F.col("seq").alias("end"))
+    return entries.join(ends, "object").filter("seq <= end").drop("end")

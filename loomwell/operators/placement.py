@@ -90,3 +90,27 @@ def evict(files: DataFrame, budget: int) -> DataFrame:
     used = F.sum("bytes").over(Window.partitionBy("worker"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("worker", "cache").orderBy("touched", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return files.withColumn("evicted", F.col("cache") & (used - before > budget))
+
+
+def going_home(objects: DataFrame) -> DataFrame:
+    """Idle, clean objects whose home is another worker: (object, worker, home)."""
+    return objects.filter("idle and not dirty and home is not null and home <> worker").select("object", "worker", "home")
+
+
+def reconcile(claims: DataFrame, logical: int) -> DataFrame:
+    """After a restart: the claim of the highest generation, then of the lower
+    worker; and whether it is an exception to the hash owner."""
+    best = F.max(F.struct("generation", (-F.col("worker")).alias("w")))
+    kept = claims.groupBy("object").agg((-best["w"]).alias("worker"))
+    return kept.withColumn("exception", F.col("worker") != default_worker(F.col("object"), logical))
+
+
+def limits(memory: Column, disk: Column) -> Column:
+    """Budgets of a node: disk, boat bytes (16 MiB to 1 GiB), activation permits."""
+    boat = F.least(F.greatest(F.floor(memory / 8), F.lit(16 << 20)), F.lit(1 << 30))
+    return F.struct(F.floor(disk * 6 / 10).cast("long").alias("disk_budget"), boat.cast("long").alias("boat"), F.when(memory >= 4 << 30, 4).otherwise(2).alias("permits"))
+
+
+def shed(objects: DataFrame) -> DataFrame:
+    """What stays after idle, clean, unqueued objects are dropped."""
+    return objects.filter("not (idle and not dirty and queued = 0)")

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from loomwell.functions import scalar
 from loomwell.operators import audits, grants, log, placement, polls, txn, wills
 from loomwell.sources import blobs
+from loomwell.streaming import live
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -619,6 +620,91 @@ def st_sessions(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.unix_timestamp(F.min("ts")).alias("first_s")).select("user_id", "n", "first_s")
 
 
+# ---- codecs, recovery, node limits -----------------------------------------------------------
+
+
+@code("SELECT event_id, format('{:02x}{:016x}{:04x}', CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END, event_id, length('t' || event_id)) || lower(hex('t' || event_id)) || lower(hex(event_type)) AS entry, event_type AS back FROM events")
+def lg1_entry_codec(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "snapshot").otherwise("delta")
+    b = log.encode_entry(kind, F.col("event_id"), F.concat(F.lit("t"), F.col("event_id").cast("string")), F.col("event_type").cast("binary"))
+    e = e.select("event_id", b.alias("b"))
+    return e.select("event_id", F.lower(F.hex("b")).alias("entry"), log.decode_entry(F.col("b"))["payload"].cast("string").alias("back"))
+
+
+@code("SELECT user_id AS object, max(CASE WHEN event_id % 4 = 0 OR event_type <> 'error' THEN event_id END) AS counter FROM events GROUP BY user_id HAVING counter IS NOT NULL")
+def lg10_recovery(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.col("user_id").alias("object"), F.col("event_id").alias("counter"), "event_type")
+    return log.roll_forward(e.filter("counter % 4 = 0"), e.filter("event_type <> 'error'"), e)[0]
+
+
+@code("WITH " + DUCK_LOG + ", b AS (SELECT object, min(seq) AS s FROM log WHERE NOT ok GROUP BY object) SELECT log.object, count(*) AS n FROM log LEFT JOIN b ON b.object = log.object WHERE b.s IS NULL OR seq < b.s GROUP BY log.object")
+def sc4_durable_read(spark, d):
+    e = event_log(spark, d)
+    return log.durable_view(e, e.select("txn", F.col("ok").alias("committed"))).groupBy("object").agg(F.count("*").alias("n"))
+
+
+@code("WITH " + DUCK_LOG + " SELECT object, count(*) AS n FROM log WHERE ok OR event_id % 7 = 0 GROUP BY object")
+def sc2_live_read(spark, d):
+    e = event_log(spark, d)
+    return log.live_view(e, outcomes(e)).groupBy("object").agg(F.count("*").alias("n"))
+
+
+@code("SELECT c_custkey AS object, c_custkey % 16 AS worker, c_nationkey AS home FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_nationkey <> c_custkey % 16")
+def rt6_going_home(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("object"), (F.col("c_custkey") % 16).alias("worker"), F.col("c_nationkey").alias("home"), (F.col("c_acctbal") > 0).alias("idle"), (F.col("c_mktsegment") == "BUILDING").alias("dirty"))
+    return placement.going_home(c)
+
+
+@code("SELECT p_brand AS object, worker, worker <> cast(" + _FNV.format(o="p_brand") + " % 64 AS BIGINT) AS exception FROM (SELECT p_brand, p_partkey % 64 AS worker, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 64) AS rn FROM part) t WHERE rn = 1")
+def rt8_reconcile(spark, d):
+    c = table(spark, d, "part").select(F.col("p_brand").alias("object"), (F.col("p_partkey") % 64).alias("worker"), F.col("p_size").alias("generation"))
+    return placement.reconcile(c, 64)
+
+
+@code("SELECT p_partkey, cast(floor(m * 6 / 10.0) AS BIGINT) AS disk_budget, least(greatest(m // 8, 16777216), 1073741824) AS boat, CASE WHEN m >= 4294967296 THEN 4 ELSE 2 END AS permits FROM (SELECT p_partkey, cast(p_size AS BIGINT) * 268435456 AS m FROM part) t")
+def rs1_limits(spark, d):
+    m = F.col("p_size").cast("long") * (256 << 20)
+    return table(spark, d, "part").select("p_partkey", placement.limits(m, m).alias("l")).select("p_partkey", "l.*")
+
+
+@code("SELECT o_orderkey AS object FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' AND o_custkey % 3 = 0)")
+def rs3_shed(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("object"), (F.col("o_orderstatus") == "F").alias("idle"), (F.col("o_orderpriority") == "1-URGENT").alias("dirty"), (F.col("o_custkey") % 3).alias("queued"))
+    return placement.shed(o).select("object")
+
+
+@code("SELECT user_id, cast(" + _FNV.format(o="t") + " AS VARCHAR) AS hash FROM (SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS t FROM events WHERE event_id < 400 GROUP BY user_id) x")
+def df23_trace_hash(spark, d):
+    """FNV over a user's events in order: the running hash is that of the concatenation."""
+    trace = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "")
+    t = table(spark, d, "events").filter("event_id < 400").groupBy("user_id").agg(trace.alias("t"))
+    return t.select("user_id", scalar.fnv1a64(F.col("t")).cast("string").alias("hash"))
+
+
+@code("SELECT n_name, format('{:016x}', cast(" + _FNV.format(o="r") + " AS UHUGEINT)) AS hash FROM (SELECT n_name, '[{\"rows\":[{\"n\":' || n_nationkey || '}]}]' AS r FROM nation) t")
+def pl3_poll_hash(spark, d):
+    r = F.concat(F.lit('[{"rows":[{"n":'), F.col("n_nationkey").cast("string"), F.lit("}]}]"))
+    h = scalar.fnv1a64(r)
+    # a decimal of 64 unsigned bits, as two halves of 32
+    half = F.lit(1 << 32).cast("decimal(20,0)")
+    hx = F.concat(*[F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0") for x in (F.floor(h / half), h % half)])
+    return table(spark, d, "nation").select("n_name", hx.alias("hash"))
+
+
+@code("SELECT asked, held, asked = held OR (held = 'write' AND asked IN ('insert','update','delete','ddl')) OR (asked = 'write' AND held IN ('insert','update','delete','ddl','write')) AS covered FROM (VALUES ('read'),('poll'),('insert'),('update'),('delete'),('ddl'),('write')) a(asked), (VALUES ('read'),('poll'),('insert'),('update'),('delete'),('ddl'),('write')) b(held)")
+def gr3_verb_covered(spark, d):
+    v = spark.createDataFrame([(a, b) for a in grants.VERBS for b in grants.VERBS], "asked string, held string")
+    return v.withColumn("covered", grants.verb_covered(F.col("asked"), F.array("held")))
+
+
+@code("SELECT event_type, count(*) AS n, cast(floor(epoch(time_bucket(INTERVAL 1 HOUR, ts))) AS BIGINT) AS start_s FROM events GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)")
+def st_tumbling(spark, d):
+    """The streaming window count, run over a batch."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.tumbling(e, "ts", "1 hour", "10 minutes", "event_type").select("event_type", "n", F.unix_timestamp("start").alias("start_s"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, text in BOTH.items():
