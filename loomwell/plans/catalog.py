@@ -127,6 +127,20 @@ BOTH: dict[str, str] = {
     "fn2_strings": "SELECT n_name, length(n_name) AS len, upper(n_name) AS up, lower(n_name) AS lo, substr(n_name, 2, 3) AS sub, replace(n_name, 'A', '_') AS rep, instr(n_name, 'A') AS at, trim(concat(' ', n_name)) AS tr FROM nation",
     "fn3_math": "SELECT p_partkey, abs(p_size - 25) AS a, sign(p_size - 25) AS s, floor(p_size / 7.0) AS f, ceil(p_size / 7.0) AS c, p_size % 7 AS m, power(p_size, 2) AS sq FROM part",
     "fn4_bits": "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS o, ~p_size AS n FROM part",
+    "jn1_natural": "SELECT count(*) AS n FROM nation NATURAL JOIN (SELECT n_nationkey, n_regionkey AS rk FROM nation) t",
+    "jn3_comma": "SELECT a.r_name AS a, b.n_name AS b FROM region a, nation b WHERE a.r_regionkey = b.n_regionkey",
+    "jn4_range": "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.event_id <= a.event_id + 500 GROUP BY a.user_id",
+    "pr11_row_values": "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_orderpriority) IN (('F', '1-URGENT'), ('O', '5-LOW'))",
+    "so3_nocase": "SELECT c_custkey, lower(c_name) AS low FROM customer ORDER BY lower(c_name), c_custkey LIMIT 20",
+    "dm1_insert_rows": "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT k, v FROM (VALUES (100, 'new'), (101, 'newer')) AS t(k, v)",
+    "dm8_update_from": "SELECT c_custkey, coalesce(m.n, 0) AS orders_n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) m ON m.o_custkey = c_custkey",
+    "dm8_replace": "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM (SELECT n_regionkey AS k, n_name AS v, n_nationkey AS seq FROM nation) x) t WHERE rn = 1",
+    "dm8_returning": "SELECT o_orderkey, o_custkey + 1 AS o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    "dm8_delete_limit": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100)",
+    "ag5_total": "SELECT n_regionkey, coalesce(sum(cast(n_nationkey AS DOUBLE)), 0.0) AS total, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey",
+    "fn2_more_strings": "SELECT n_name, ascii(n_name) AS code, chr(65 + n_nationkey) AS ch, ltrim(concat('  ', n_name)) AS lt, rtrim(concat(n_name, '  ')) AS rt, substr(n_name, -3) AS tail, reverse(n_name) AS rev FROM nation",
+    "fn3_more_math": "SELECT p_partkey, round(sqrt(p_size), 6) AS s, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS l10, round(sin(p_size), 6) AS si, round(atan2(p_size, 3), 6) AS at, round(degrees(p_size), 6) AS dg FROM part",
+    "dd5_view": "WITH big_orders AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT o_orderstatus, count(*) AS n FROM big_orders GROUP BY o_orderstatus",
 }
 
 PAIRS: dict[str, tuple[str, str]] = {
@@ -152,6 +166,11 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT event_id, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events",
     ),
     "fn5_json": ("SELECT event_id, cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, cast(props->>'$.k' AS BIGINT) AS k FROM events"),
+    "fn5_json_keys": ("SELECT event_id, array_join(json_object_keys(props), ',') AS ks FROM events", "SELECT event_id, array_to_string(json_keys(props), ',') AS ks FROM events"),
+    "fn5_json_set": (
+        "SELECT event_id, to_json(map_concat(map_filter(from_json(props, 'map<string,bigint>'), (k, v) -> k <> 'z'), map('z', event_id))) AS js FROM events",
+        "SELECT event_id, cast(json_merge_patch(cast(props AS JSON), cast('{\"z\":' || event_id || '}' AS JSON)) AS VARCHAR) AS js FROM events",
+    ),
     "fn6_time": (
         "SELECT event_id, date_format(ts, 'yyyy-MM-dd') AS d, hour(ts) AS h, cast(date_format(date_trunc('month', ts), 'yyyyMMdd') AS INT) AS m FROM events",
         "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, cast(hour(ts) AS INT) AS h, cast(strftime(date_trunc('month', ts), '%Y%m%d') AS INT) AS m FROM events",
@@ -613,6 +632,20 @@ def fn7_integer_semantics(spark, d):
     return table(spark, d, "part").select("p_partkey", scalar.int_div(s, F.lit(7)).alias("q"), scalar.int_mod(s, F.lit(7)).alias("r"), scalar.int_div(k, s % 7).alias("by_zero"), scalar.least_of(s, k).alias("lo"))
 
 
+@code("SELECT event_id, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH + to_days(cast(day(ts) - 1 AS INT)), '%Y-%m-%d') AS d FROM events")
+def fn6_month_overflow(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", scalar.add_months_overflowing(F.col("ts"), 1).cast("string").alias("d"))
+
+
+@code("SELECT n_nationkey, '''' || replace(n_name, '_', '''''') || '''' AS q, CASE WHEN n_nationkey > 3 THEN 'integer' ELSE 'null' END AS t, n_nationkey % 10 AS i FROM nation")
+def fn2_quote_typeof(spark, d):
+    n = table(spark, d, "nation")
+    text = F.replace("n_name", F.lit("_"), F.lit("'"))
+    lead = F.concat((F.col("n_nationkey") % 10).cast("string"), F.lit("abc"))
+    return n.select("n_nationkey", scalar.quote(text, "string").alias("q"), scalar.typeof(F.when(F.col("n_nationkey") > 3, F.col("n_nationkey")), "int").alias("t"), scalar.to_integer(lead).cast("int").alias("i"))
+
+
 @code("SELECT user_id, count(*) AS n, cast(floor(epoch(min(ts))) AS BIGINT) AS first_s FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s")
 def st_sessions(spark, d):
     """Sessions of a user with gaps under an hour, as the streaming operator makes them."""
