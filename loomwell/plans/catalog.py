@@ -104,7 +104,7 @@ BOTH: dict[str, str] = {
     "ag7_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "ag7_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "ag9_pricing_summary": "SELECT l_returnflag, l_linestatus, cast(sum(cast(l_quantity AS BIGINT)) AS BIGINT) AS qty, cast(sum(cast(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
-    "wn1_ranks": "SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+    "wn1_ranks": "SELECT event_id, cast(row_number() OVER w AS BIGINT) AS rn, cast(rank() OVER w AS BIGINT) AS rk, cast(dense_rank() OVER w AS BIGINT) AS dr, cast(ntile(4) OVER w AS BIGINT) AS nt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
     "wn1_percent": "SELECT n_nationkey, percent_rank() OVER (ORDER BY n_regionkey) AS pr, cume_dist() OVER (ORDER BY n_regionkey) AS cd FROM nation",
     "wn1_lag_lead": "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS first_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "wn1_last_nth": "SELECT event_id, last_value(event_id) OVER w AS last_id, nth_value(event_id, 2) OVER w AS second_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
@@ -124,8 +124,8 @@ BOTH: dict[str, str] = {
     "dm6_delete": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')",
     "dm7_claim": "SELECT user_id AS k, min(event_id) AS winner FROM events WHERE event_type = 'click' GROUP BY user_id",
     "fn1_null_functions": "SELECT event_id, coalesce(nullif(event_type, 'view'), 'none') AS a, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS b FROM events",
-    "fn2_strings": "SELECT n_name, length(n_name) AS len, upper(n_name) AS up, lower(n_name) AS lo, substr(n_name, 2, 3) AS sub, replace(n_name, 'A', '_') AS rep, instr(n_name, 'A') AS at, trim(concat(' ', n_name)) AS tr FROM nation",
-    "fn3_math": "SELECT p_partkey, abs(p_size - 25) AS a, sign(p_size - 25) AS s, floor(p_size / 7.0) AS f, ceil(p_size / 7.0) AS c, p_size % 7 AS m, power(p_size, 2) AS sq FROM part",
+    "fn2_strings": "SELECT n_name, cast(length(n_name) AS BIGINT) AS len, upper(n_name) AS up, lower(n_name) AS lo, substr(n_name, 2, 3) AS sub, replace(n_name, 'A', '_') AS rep, cast(instr(n_name, 'A') AS BIGINT) AS at, trim(concat(' ', n_name)) AS tr FROM nation",
+    "fn3_math": "SELECT p_partkey, abs(p_size - 25) AS a, cast(sign(p_size - 25) AS INT) AS s, cast(floor(p_size / 7.0) AS BIGINT) AS f, cast(ceil(p_size / 7.0) AS BIGINT) AS c, p_size % 7 AS m, power(p_size, 2) AS sq FROM part",
     "fn4_bits": "SELECT p_partkey, p_size & 7 AS a, p_size | 8 AS o, ~p_size AS n FROM part",
     "jn1_natural": "SELECT count(*) AS n FROM nation NATURAL JOIN (SELECT n_nationkey, n_regionkey AS rk FROM nation) t",
     "jn3_comma": "SELECT a.r_name AS a, b.n_name AS b FROM region a, nation b WHERE a.r_regionkey = b.n_regionkey",
@@ -379,7 +379,7 @@ def tx4_acks(spark, d):
 @code("SELECT l_partkey AS object, l_orderkey AS txn, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS position FROM lineitem")
 def tx5_admission(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("txn"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("arrival"))
-    return txn.admission(li).select("object", "txn", "position")
+    return txn.admission(li).select("object", "txn", F.col("position").cast("long").alias("position"))
 
 
 @code("SELECT o_custkey AS object FROM orders GROUP BY o_custkey HAVING max(o_orderkey) > 1000")
@@ -492,7 +492,7 @@ def rt3_crowded(spark, d):
 )
 def rt4_visits(spark, d):
     deeds = table(spark, d, "events").select(F.col("user_id").alias("object"), F.col("event_id").alias("tick"), (F.col("event_id") % 3).alias("worker"))
-    return placement.visits(deeds).select("object", "tick", "visits", "rehome")
+    return placement.visits(deeds).select("object", "tick", F.col("visits").cast("long").alias("visits"), "rehome")
 
 
 @code("SELECT o_orderkey, greatest(o_custkey % 9, o_orderkey % 5, 0) + 1 AS next_generation, (o_orderstatus = 'P' OR o_orderkey - o_custkey >= 200) AS settled FROM orders")
@@ -520,7 +520,7 @@ def rt10_superseded(spark, d):
     return placement.superseded(leases.groupBy("block").agg(F.min("epoch").alias("epoch")), leases)
 
 
-@code("SELECT n_nationkey AS object, cast(n_nationkey % 4 + least(8, n_regionkey * 3) AS BIGINT) AS worker, cast(least(8, n_regionkey * 3) AS INT) AS hops FROM nation")
+@code("SELECT cast(n_nationkey AS BIGINT) AS object, cast(n_nationkey % 4 + least(8, n_regionkey * 3) AS BIGINT) AS worker, cast(least(8, n_regionkey * 3) AS INT) AS hops FROM nation")
 def rt11_take_chase(spark, d):
     """Each nation's hints lead from worker to worker, three for each region number; eight are followed at most."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("object"), (F.col("n_nationkey") % 4).cast("long").alias("worker"), (F.col("n_regionkey") * 3).alias("steps"))
@@ -626,7 +626,7 @@ def dm5_commutative_replay(spark, d):
     return event_log(spark, d).groupBy("object").agg(F.sum(F.when(F.col("ok"), F.col("amt"))).alias("balance"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("amt"))), F.lit(0)).alias("rolled_back"))
 
 
-@code("SELECT p_partkey, p_size // 7 AS q, p_size % 7 AS r, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey // (p_size % 7) END AS by_zero, least(p_size, p_partkey) AS lo FROM part")
+@code("SELECT p_partkey, cast(p_size // 7 AS BIGINT) AS q, p_size % 7 AS r, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey // (p_size % 7) END AS by_zero, least(p_size, p_partkey) AS lo FROM part")
 def fn7_integer_semantics(spark, d):
     s, k = F.col("p_size"), F.col("p_partkey")
     return table(spark, d, "part").select("p_partkey", scalar.int_div(s, F.lit(7)).alias("q"), scalar.int_mod(s, F.lit(7)).alias("r"), scalar.int_div(k, s % 7).alias("by_zero"), scalar.least_of(s, k).alias("lo"))
