@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from loomwell.functions import scalar
 from loomwell.operators import audits, grants, log, placement, polls, txn, wills
 from loomwell.sources import blobs
+from loomwell.sources.shared import scratch
 from loomwell.streaming import live
 
 
@@ -351,7 +352,11 @@ def tx8_revert_closure(spark, d):
     return txn.revert_closure(g, g.filter("object like '%3'").select("object"))
 
 
-@code()
+@code(
+    "WITH RECURSIVE i AS (SELECT user_id % 16 AS worker, event_id AS pos, cast(round(value * 100) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS rn FROM events), "
+    "r(worker, rn, pos, bytes, used, aboard) AS (SELECT worker, rn, pos, bytes, bytes, true FROM i WHERE rn = 1 UNION ALL SELECT i.worker, i.rn, i.pos, i.bytes, CASE WHEN r.used + i.bytes <= 100000 THEN r.used + i.bytes ELSE r.used END, r.used + i.bytes <= 100000 FROM r JOIN i ON i.worker = r.worker AND i.rn = r.rn + 1) "
+    "SELECT worker, pos, bytes, aboard FROM r"
+)
 def tx7_boat_cut(spark, d):
     items = table(spark, d, "events").select((F.col("user_id") % 16).alias("worker"), F.col("event_id").alias("pos"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
     return txn.boat_cut(items, 100_000)
@@ -738,6 +743,32 @@ def st_tumbling(spark, d):
     return live.tumbling(e, "ts", "1 hour", "10 minutes", "event_type").select("event_type", "n", F.unix_timestamp("start").alias("start_s"))
 
 
+def _stream(spark, d):
+    """The events table as a stream of files."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(df, mode: str):
+    """What a stream of all files at hand has written in the end."""
+    spark, out = df.sparkSession, scratch(df.sparkSession, "stream")
+
+    def put(batch, epoch):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, "stream-offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@code("SELECT event_type, count(*) AS n, cast(floor(epoch(time_bucket(INTERVAL 1 HOUR, ts))) AS BIGINT) AS start_s FROM events GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)")
+def st_stream_tumbling(spark, d):
+    return _drained(live.tumbling(_stream(spark, d), "ts", "1 hour", "10 minutes", "event_type"), "complete").select("event_type", "n", F.unix_timestamp("start").alias("start_s"))
+
+
+@code("SELECT DISTINCT user_id FROM events")
+def st_stream_dedup(spark, d):
+    return _drained(live.exactly_once(_stream(spark, d).select("user_id", "ts"), "user_id", "ts", "3650 days"), "append").select("user_id")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, text in BOTH.items():
