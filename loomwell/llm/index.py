@@ -158,16 +158,15 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, s
             passed = np.zeros((len(part), width), bool)
             for i, places in enumerate(part["places"]):
                 passed[i, places] = True
-            s = q @ v.T
+            # one pair at a time, not a blocked matrix product: equal vectors get equal scores, so ties are ties
+            s = np.einsum("ij,kj->ik", q, v)
             s[~passed[:, place] | (row[:, None] == rows[None, :])] = -np.inf
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             r = np.repeat(np.arange(len(part)), top.shape[1])
             top = top.ravel()
             keep = s[r, top] > -np.inf
             r, top = r[keep], top[keep]
-            # the score itself, product by product, alike however the matrix product was blocked
-            exact = np.einsum("ij,ij->i", q[r], v[top]) if len(r) else np.zeros(0)
-            out.append(pd.DataFrame({"row": row[r], "query_id": part["query_id"].to_numpy()[r], "vec_id": ids[top], "score": exact}))
+            out.append(pd.DataFrame({"row": row[r], "query_id": part["query_id"].to_numpy()[r], "vec_id": ids[top], "score": s[r, top]}))
         return pd.concat(out)
 
     near = asked.groupBy("shelf", "block").cogroup(entries.groupBy("shelf", "block")).applyInPandas(rerank, "row long, query_id long, vec_id long, score double")
