@@ -362,7 +362,12 @@ def tx7_boat_cut(spark, d):
     return txn.boat_cut(items, 100_000)
 
 
-@code()
+@code(
+    "WITH RECURSIVE t AS (SELECT o_orderkey AS txn, o_custkey - o_custkey % 8 AS g, o_custkey % 8 AS i, (o_custkey + 1 + o_orderkey % 7) % 8 AS j, o_orderkey % 60 AS amt, row_number() OVER (PARTITION BY o_custkey - o_custkey % 8 ORDER BY o_orderkey) AS rn FROM orders), "
+    "r(g, rn, txn, accepted, st) AS (SELECT g, cast(0 AS BIGINT), cast(NULL AS BIGINT), cast(NULL AS BOOLEAN), cast([100, 100, 100, 100, 100, 100, 100, 100] AS BIGINT[]) FROM (SELECT DISTINCT g FROM t) x UNION ALL "
+    "SELECT t.g, t.rn, t.txn, st[i + 1] >= amt, CASE WHEN st[i + 1] >= amt THEN list_transform(st, lambda x, k: CASE WHEN k = i + 1 THEN x - amt WHEN k = j + 1 THEN x + amt ELSE x END) ELSE st END FROM r JOIN t ON t.g = r.g AND t.rn = r.rn + 1) "
+    "SELECT txn, accepted FROM r WHERE rn > 0"
+)
 def tx2_replay_transfers(spark, d):
     o = tx_transfers(spark, d)
     return txn.replay_transfers(o, 100)
