@@ -149,7 +149,8 @@ def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
 def train(docs: DataFrame, rounds: int = 400) -> list[float]:
     """Bias and weights of the span classifier, from all candidates of ``docs``.
     Without candidates it takes none for a secret."""
-    found = _found(docs.select("text"), "own_", ("secret",)).select(F.explode("own_secret").alias("span"))
+    # explode() would filter by size first, and evaluate the patterns again for every piece there
+    found = _found(docs.select("text"), "own_", ("secret",)).select(F.explode_outer("own_secret").alias("span")).filter("span is not null")
     span = F.col("span")
     counted = found.groupBy(F.array(*votes(span)).alias("v"), features(span).alias("x")).count().collect()  # bounded by the combinations
     if not counted:
