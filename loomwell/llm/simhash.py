@@ -205,20 +205,29 @@ def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the least (doc_id, text
-    hash), nulls last; of rows that repeat both any one.
+def order_key() -> Column:
+    """(none, id, key) of a row: its place among copies, and the id and text hash that name it."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.xxhash64("text").cast("string"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+
 
-    Only ids, hashes and fingerprints are compared; the texts are shuffled once,
-    as the join and the choice among repeated rows deal by the same key.
+def only(docs: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``order_key`` is in the column ``least``; of rows that repeat one any one.
+
+    The texts are shuffled once, as the join and the choice among repeated rows deal by the same key.
     """
     p = own_prefix(docs)
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.xxhash64("text").cast("string"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
-    fps = stored(fingerprints(docs.select(order.alias("doc_id"), "text")), "simhash-fps")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(components(fps, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["key"].alias(f"{p}key")), "simhash-kept")
-    found = docs.withColumn(f"{p}key", key).join(stay, f"{p}key", "left_semi")
+    stay = stored(least.select(F.col("least")["key"].alias(f"{p}key")), "simhash-kept")
+    found = docs.withColumn(f"{p}key", order_key()["key"]).join(stay, f"{p}key", "left_semi")
     first = F.row_number().over(Window.partitionBy(f"{p}key").orderBy(f"{p}key"))
     return found.withColumn(f"{p}first", first).filter(F.col(f"{p}first") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that of the least (doc_id, text
+    hash), nulls last; of rows that repeat both any one. Only ids, hashes and
+    fingerprints are compared."""
+    fps = stored(fingerprints(docs.select(order_key().alias("doc_id"), "text")), "simhash-fps")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(components(fps, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return only(docs, rooted.groupBy("root").agg(F.min("least").alias("least")))
