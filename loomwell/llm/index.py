@@ -3,8 +3,9 @@
 Vectors are cut in two halves and each half is quantised by a codebook of its
 own; a pair of centroids is a cell. For a query the halves' centroids are
 sorted by distance, and a heap hands out pairs in order of summed distance (the
-multi-sequence walk) until the cells passed hold enough entries. The entries
-are then reranked by the exact measure.
+multi-sequence walk) until the cells passed hold enough distinct vectors, so that
+copies don't use up the walk. Their entries are then reranked by the exact
+measure.
 
 Codebooks are fitted on a bounded sample, but every row is indexed. The cells
 of one first centroid are a shelf; shelves are dealt in blocks of a bounded
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import stored
 
-#: Centroids of a half, rows that codebooks are fitted on, rows of a block, share of the rows that a walk passes, and their least number.
+#: Centroids of a half, rows that codebooks are fitted on, rows of a block, share of the distinct vectors that a walk passes, and their least number.
 CENTROIDS, SAMPLE, BLOCK, SHARE, LEAST = 128, 20_000, 4096, 0.4, 400
 
 
@@ -57,7 +58,7 @@ class Codebooks:
 
     def walk(self, q: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
         """The cells of a query in order of summed distance, up to ``enough``
-        entries. Distance of a half is minus its inner product, which adds up
+        by ``sizes``. Distance of a half is minus its inner product, which adds up
         to the measure."""
         d = self.first.shape[1]
         a, b = -(self.first @ q[:d]), -(self.second @ q[d:])
@@ -101,7 +102,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, s
     the smaller vec_id; a row isn't its own candidate, but another row of the
     same id or vector is one. Rows that ``usable`` leaves out take no part; an
     empty table gives no rows; other columns are not read. A walk passes
-    ``share`` of all rows, ``least`` at least; if the cells it passed hold fewer than k
+    ``share`` of the distinct vectors, ``least`` at least; if the cells it passed hold fewer than k
     others, the rest of the cells hold fewer as well.
     """
     spark = vectors.sparkSession
@@ -122,9 +123,11 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, s
     # written once: the walk's sizes and the entries are the same rows
     indexed = stored(found.mapInPandas(assign, "vec_id long, v array<double>, cell int").withColumn("row", F.monotonically_increasing_id()), "multi-index")
     sizes = np.zeros(len(books.value.first) * len(books.value.second), np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # at most centroids**2 rows
-        sizes[r["cell"]] = r["count"]
-    enough = max(int(n * share), least, k + 1)
+    distinct = np.zeros_like(sizes)
+    # equal vectors share a cell, so the cells' distinct vectors add up
+    for r in indexed.groupBy("cell").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("v")).alias("vectors")).collect():  # at most centroids**2 rows
+        sizes[r["cell"]], distinct[r["cell"]] = r["n"], r["vectors"]
+    enough = max(int(distinct.sum() * share), least, k + 1)
     width = len(books.value.second)
     blocks = np.maximum(-(-sizes.reshape(-1, width).sum(1) // BLOCK), 1)
 
@@ -132,7 +135,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, s
         for pdf in batches:
             out = []
             for row, q in zip(pdf["row"], pdf["v"], strict=True):
-                shelf, place = np.divmod(np.array(books.value.walk(np.asarray(q), sizes, enough), np.int64), width)
+                shelf, place = np.divmod(np.array(books.value.walk(np.asarray(q), distinct, enough), np.int64), width)
                 order = np.argsort(shelf, kind="stable")
                 named, first = np.unique(shelf[order], return_index=True)
                 for s, places in zip(named.tolist(), np.split(place[order], first[1:]), strict=True):

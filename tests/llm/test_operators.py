@@ -8,6 +8,7 @@ from collections import Counter
 from random import Random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -207,6 +208,30 @@ def test_index_recall(spark, data):
     assert got.query_id.nunique() == (ids % 20 == 0).sum() and hit / total >= 0.9
 
 
+def recall(p, got, only):
+    """Mean and least share of the 20 nearest found, over the queries in ``only``."""
+    v, ids = np.stack(p["embedding"].to_numpy()).astype(float), p["vec_id"].to_numpy()
+    found = []
+    for q, g in got[got.query_id.isin(only)].groupby("query_id"):
+        i = int(np.flatnonzero(ids == q)[0])
+        s = v @ v[i]
+        s[i] = -np.inf
+        found.append(len(set(g.vec_id) & set(ids[np.lexsort((ids, -s))[:20]])) / 20)
+    return float(np.mean(found)), min(found)
+
+
+def test_index_recall_beside_copies(spark, data):
+    p = table(spark, data.replace("sf0.001", "sf0.1"), "embeddings").select("vec_id", "embedding").toPandas()
+    n = len(p)
+    for hot in (3, 777, 1501):
+        copies = p.iloc[[hot] * (n // 2)].assign(vec_id=np.arange(n // 2) * 20 + 10_000_001)
+        rows = pd.concat([p, copies], ignore_index=True)
+        got = index.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+        mean, least = recall(rows, got, set(p.vec_id) - {p.vec_id[hot]})
+        print("recall beside copies", hot, mean, least)
+        assert mean >= 0.9
+
+
 def test_index_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [None, 1.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [0.0, 1.0]), (None, [1.0, 1.0]), (10, [])]
