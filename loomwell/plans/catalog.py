@@ -71,6 +71,12 @@ def tx_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_quantity = 1").select(F.col("l_orderkey").alias("txn"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("object")).distinct()
 
 
+def trace_hash(events: DataFrame) -> DataFrame:
+    """user_id, hash: FNV over a user's events in order; the running hash is that of the concatenation."""
+    trace = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "")
+    return events.groupBy("user_id").agg(trace.alias("t")).select("user_id", scalar.fnv1a64(F.col("t")).cast("string").alias("hash"))
+
+
 #: SQL of the operators that need no code: the same text for both engines, or one text for each.
 BOTH: dict[str, str] = {
     "sc1_object_scan": "SELECT event_id, event_type FROM events WHERE user_id = 7",
@@ -719,10 +725,14 @@ def rs3_shed(spark, d):
 
 @code("SELECT user_id, cast(" + _FNV.format(o="t") + " AS VARCHAR) AS hash FROM (SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS t FROM events WHERE event_id < 400 GROUP BY user_id) x")
 def df23_trace_hash(spark, d):
-    """FNV over a user's events in order: the running hash is that of the concatenation."""
-    trace = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), "")
-    t = table(spark, d, "events").filter("event_id < 400").groupBy("user_id").agg(trace.alias("t"))
-    return t.select("user_id", scalar.fnv1a64(F.col("t")).cast("string").alias("hash"))
+    """``trace_hash`` of the log's first 400 events, as far as the SQL goes."""
+    return trace_hash(table(spark, d, "events").filter("event_id < 400"))
+
+
+@code(None)
+def df23_trace_hash_whole(spark, d):
+    """``trace_hash`` of all events; tested by brute force, no SQL is registered."""
+    return trace_hash(table(spark, d, "events"))
 
 
 @code("SELECT n_name, format('{:016x}', cast(" + _FNV.format(o="r") + " AS UHUGEINT)) AS hash FROM (SELECT n_name, '[{\"rows\":[{\"n\":' || n_nationkey || '}]}]' AS r FROM nation) t")

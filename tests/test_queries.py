@@ -63,3 +63,17 @@ def test_replay_in_python(spark, data):
             balance[r["dst"]] = balance.get(r["dst"], 100) + r["amt"]
         want[r["txn"]] = ok
     assert got == want and not all(want.values())
+
+
+def test_trace_hash_of_whole_logs(spark, data):
+    got = {r["user_id"]: r["hash"] for r in catalog.queries()["df23_trace_hash_whole"](spark, data).collect()}
+    want = {}
+    for r in catalog.table(spark, data, "events").orderBy("event_id").collect():
+        h = want.get(r["user_id"], 0xCBF29CE484222325)
+        for b in r["event_type"].encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        want[r["user_id"]] = h
+    assert got == {u: str(h) for u, h in want.items()}
+    # the log's first 400 events give other hashes
+    part = {r["user_id"]: r["hash"] for r in catalog.queries()["df23_trace_hash"](spark, data).collect()}
+    assert part != got
