@@ -220,6 +220,16 @@ def recall(p, got, only):
     return float(np.mean(found)), min(found)
 
 
+def test_index_recall_by_the_share_alone(spark, data):
+    """2,000 vectors: ``SHARE`` of them is more than ``LEAST``."""
+    df = table(spark, data.replace("sf0.001", "sf0.1"), "embeddings").select("vec_id", "embedding")
+    p = df.toPandas()
+    assert len(p) * index.SHARE > index.LEAST
+    mean, _ = recall(p, index.search(df).toPandas(), set(p.vec_id))
+    print("recall by the share alone", mean)
+    assert mean >= 0.9
+
+
 def test_index_recall_beside_copies(spark, data):
     p = table(spark, data.replace("sf0.001", "sf0.1"), "embeddings").select("vec_id", "embedding").toPandas()
     n = len(p)
