@@ -139,6 +139,7 @@ BOTH: dict[str, str] = {
     "jn4_range": "SELECT a.user_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.event_id <= a.event_id + 500 GROUP BY a.user_id",
     "pr11_row_values": "SELECT o_orderkey FROM orders WHERE (o_orderstatus, o_orderpriority) IN (('F', '1-URGENT'), ('O', '5-LOW'))",
     "so3_nocase": "SELECT c_custkey, lower(c_name) AS low FROM customer ORDER BY lower(c_name), c_custkey LIMIT 20",
+    "so3_nocase_whole": "SELECT c_custkey, lower(c_name) AS low FROM customer ORDER BY lower(c_name), c_custkey",
     "dm1_insert_rows": "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT k, v FROM (VALUES (100, 'new'), (101, 'newer')) AS t(k, v)",
     "dm8_update_from": "SELECT c_custkey, coalesce(m.n, 0) AS orders_n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) m ON m.o_custkey = c_custkey",
     "dm8_replace": "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM (SELECT n_regionkey AS k, n_name AS v, n_nationkey AS seq FROM nation) x) t WHERE rn = 1",

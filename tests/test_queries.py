@@ -77,3 +77,9 @@ def test_trace_hash_of_whole_logs(spark, data):
     # the log's first 400 events give other hashes
     part = {r["user_id"]: r["hash"] for r in catalog.queries()["df23_trace_hash"](spark, data).collect()}
     assert part != got
+
+
+def test_nocase_order_of_all_customers(spark, data):
+    got = [tuple(r) for r in catalog.queries()["so3_nocase_whole"](spark, data).collect()]
+    want = sorted(((r["c_name"].lower(), r["c_custkey"]) for r in catalog.table(spark, data, "customer").collect()))
+    assert got == [(k, low) for low, k in want] and len(got) > 20
