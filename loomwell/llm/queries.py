@@ -60,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", "mix.position")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -491,6 +491,13 @@ def test_mixing_query(spark, data, docs):
     assert got.drop(columns="source").sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_mixing_query_has_the_order(spark, data, docs):
+    got = queries()["op10_mixing"](spark, data)
+    want = mixing.mix(docs).selectExpr("doc_id", "mix.copies", "mix.position")
+    assert sorted(map(tuple, got.select("doc_id", "copies", "position").collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("position between 0 and 1").count() == docs.count() and got.select("position").distinct().count() > 50
+
+
 def test_schedules_invert(spark):
     knots = ((0.0, 0.5), (0.5, 0.5), (1.0, 1.5))
     y = [i / 50 for i in range(51)]
