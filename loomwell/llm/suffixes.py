@@ -10,15 +10,21 @@ all bytes that such strings cover are removed.
 2. Contexts that occur twice whole are repeats at once. Anchors with at least
    two different contexts are contested: their contexts' strings may agree in
    part. No other string can be repeated.
-3. Shards. The contested contexts, one of each text, are dealt to shards by
+3. Finer anchors. An anchor with more than SPREAD different contexts (a passage
+   in very many texts, a large group of near copies) is split by a further
+   function of the string: the longer window of least hash by another hash.
+   Equal strings agree on that as well, so they still meet, and strings that
+   don't share the longer window part. The shorter contexts that come out are
+   handled as in 2, and split once more where they are still too many.
+4. Shards. The contested contexts, one of each text, are dealt to shards by
    anchor, so strings that may be equal meet. A shard sorts its suffixes
    (Larsson and Sadakane's refinement: ranks double in depth, and only groups
    that still tie are sorted again), takes common prefixes of neighbours by
    Kasai's argument, and a common prefix of LENGTH or more is a repeat.
-4. An anchor with very many contexts is dealt to several shards. Their sorted
-   strings are merged by binary search: each shard's strings, as 128-bit
-   digests in sorted runs dealt by range of digest, are looked up in the runs
-   of the others.
+5. An anchor that the longest windows leave with very many contexts, each of a
+   few strings, is dealt to several shards. Their sorted strings are merged by
+   binary search: each shard's strings, as 128-bit digests in sorted runs
+   dealt by range of digest, are looked up in the runs of the others.
 """
 
 from __future__ import annotations
@@ -34,21 +40,30 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.common import stored, utf8_slices
 
-#: Bytes of a string, bytes of an anchor, contested contexts of a shard, contexts of an anchor in one shard.
-LENGTH, GRAM, SHARD, SPREAD = 400, 128, 6_000, 2_000
+#: Bytes of a string, bytes of an anchor, contested contexts of a shard, contexts of an anchor in one shard,
+#: lengths of anchors that are tried, strings of a range of digests.
+LENGTH, GRAM, SHARD, SPREAD, LEVELS, RANGE = 400, 128, 6_000, 2_000, 3, 50_000
 
 _MIX = 0x9E3779B97F4A7C15
 _KEY = "i long, h long"
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each ``gram``-byte window, by doubling; gram is a power of two."""
+def gram_hashes(data: np.ndarray, gram: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``gram``-byte window, from windows of doubling length."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
     step, base = 1, 0x100000001B3
-    while step < gram:
+    out, done = None, 0  # of the parts of ``gram`` that are powers of two, shortest first
+    while True:
+        if gram & step:
+            n = len(data) - done - step + 1
+            out = h[:n].copy() if out is None else h[:n] * np.uint64(pow(0x100000001B3, done, 1 << 64)) + out[step : step + n]
+            done += step
+        if done == gram:
+            break
         h = h[:-step] * np.uint64(base) + h[step:]
         base = base * base % (1 << 64)
         step *= 2
+    h = out ^ np.uint64(salt * _MIX % (1 << 64))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -63,7 +78,7 @@ def window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(key) - width + 1], m[width - step :]) if width > step else m
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The contexts of some texts laid end to end: (anchor's hash, place of the
     anchor, first string, last string), places in ``data``; texts shorter than
     ``length`` have none."""
@@ -71,7 +86,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     n = len(data) - length + 1
     if n <= 0:
         return none.astype(np.uint64), none, none, none
-    h = gram_hashes(data, gram)
+    h = gram_hashes(data, gram, salt)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     least = (window_minima(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)[:n]
     ok = np.ones(n, bool)  # strings that stay in their text
@@ -85,30 +100,89 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return h[at], at, first, stop
 
 
+_ROWS = f"{_KEY}, anchor long, c long, a long, b long, span long, times long"
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """Contexts of some texts, as (text, anchor, c, a, b, span, times), places from
+    the text's start. c is a hash of the context's bytes and the anchor's offset,
+    which with the anchor's own makes 128 bits; runs of the same context are one
+    row with their number in times."""
+    anchor, at, a, b = contexts(data, ends, length, gram, salt)
+    raw = data.tobytes()
+    c = np.array([xxhash.xxh3_64_intdigest(raw[s:e], seed=o) for s, e, o in zip(a.tolist(), (b + length).tolist(), (at - a).tolist(), strict=True)], np.uint64).view(np.int64)
+    doc = np.searchsorted(ends, a, "right") - 1
+    same = np.zeros(len(a), bool)
+    if len(a):
+        same[1:] = (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (a[1:] == b[:-1] + 1)
+    head = np.flatnonzero(~same)
+    tail = np.append(head[1:], len(a))[: len(head)] - 1
+    base = ends[doc[head]]
+    return doc[head], anchor[head].view(np.int64), c[head], a[head] - base, b[tail] - base, b[head] - a[head], tail - head + 1
+
+
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(i, h, anchor, c, a, b, times): the contexts of each keyed text (``i``,
-    ``h``, ``text``). c is a hash of the context's bytes and the anchor's
-    offset, which with the anchor's own makes 128 bits; runs of the same context
-    are one row with their number in ``times``."""
+    """(i, h, anchor, c, a, b, span, times): the contexts of each keyed text (``i``, ``h``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, data, ends in utf8_slices(batch.column(2), 2 << 20):
-                anchor, at, a, b = contexts(data, ends, length, gram)
-                raw = data.tobytes()
-                c = np.array([xxhash.xxh3_64_intdigest(raw[s:e], seed=o) for s, e, o in zip(a.tolist(), (b + length).tolist(), (at - a).tolist(), strict=True)], np.uint64).view(np.int64)
-                doc = np.searchsorted(ends, a, "right") - 1
-                same = np.zeros(len(a), bool)
-                if len(a):
-                    same[1:] = (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (a[1:] == b[:-1] + 1)
-                head = np.flatnonzero(~same)
-                tail = np.append(head[1:], len(a))[: len(head)] - 1
-                base = ends[doc[head]]
-                cols = [batch.column(k)[x:y].take(pa.array(doc[head])) for k in (0, 1)]
-                cols += [pa.array(anchor[head].view(np.int64)), pa.array(c[head]), *(pa.array(v) for v in (a[head] - base, b[tail] - base, b[head] - a[head], tail - head + 1))]
-                yield pa.RecordBatch.from_arrays(cols, names=["i", "h", "anchor", "c", "a", "b", "span", "times"])
+                doc, *found = _runs(data, ends, length, gram)
+                keys = [batch.column(k)[x:y].take(pa.array(doc)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, found)], names=["i", "h", "anchor", "c", "a", "b", "span", "times"])
+
+    return docs.select("i", "h", "text").mapInArrow(run, _ROWS)
+
+
+def longer(length: int, gram: int, level: int) -> int:
+    """Bytes of an anchor at a level: each takes three quarters of what the one before leaves of a string."""
+    for _ in range(level):
+        gram = length - (length - gram) // 4
+    return gram
+
+
+def _todo(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[dict], np.ndarray, list[bytes]]]:
+    """Of texts with lists ``todo`` of contexts: (batch, contexts, their rows, their
+    bytes), a few MB at a time. Rows that repeat id and text follow each other,
+    and one of them does for all."""
+    last = None
+    for batch in batches:
+        place = batch.schema.names.index
+        keys = list(zip(batch.column(place("i")).to_pylist(), batch.column(place("h")).to_pylist(), strict=True))
+        for x, y, data, ends in utf8_slices(batch.column(place("text")), 4 << 20):
+            raw = data.tobytes()
+            what, rows, out, size = [], [], [], 0
+            for row, e, todo in zip(range(x, y), ends.tolist(), batch.column(place("todo"))[x:y].to_pylist(), strict=False):
+                if keys[row] == last:
+                    continue
+                last = keys[row]
+                for w in todo:
+                    what.append(w)
+                    rows.append(row)
+                    out.append(raw[e + w["a"] : e + w["a"] + w["span"] + length])
+                    size += len(out[-1])
+                    if size > 4 << 20:
+                        yield batch, what, np.array(rows, np.int64), out
+                        what, rows, out, size = [], [], [], 0
+            if out:
+                yield batch, what, np.array(rows, np.int64), out
+
+
+def finer(texts: DataFrame, length: int, gram: int, salt: int) -> DataFrame:
+    """Rows as of ``anchors``: the contexts by longer anchors inside the contexts
+    ``todo`` (a, span, anchor, known) of some texts. A context that is known to be
+    repeated counts once more, as its strings are."""
 
-    return docs.select("i", "h", "text").mapInArrow(run, f"{_KEY}, anchor long, c long, a long, b long, span long, times long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, what, rows, parts in _todo(batches, length):
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            doc, anchor, c, a, b, span, times = _runs(np.frombuffer(b"".join(parts), np.uint8), ends, length, gram, salt)
+            first, old, known = (np.array([w[k] for w in what], np.int64)[doc] for k in ("a", "anchor", "known"))
+            anchor = anchor ^ (old.view(np.uint64) * np.uint64(_MIX)).view(np.int64)
+            keys = [batch.column(batch.schema.names.index(k)).take(pa.array(rows[doc])) for k in ("i", "h")]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (anchor, c, a + first, b + first, span, times + known))], names=["i", "h", "anchor", "c", "a", "b", "span", "times"])
+
+    return texts.mapInArrow(run, _ROWS)
 
 
 class SuffixArray:
@@ -211,7 +285,7 @@ def _shard(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Repeats among a shard's contexts: spans (i, h, s, e) of what they cover,
     and for contexts of spread anchors one row (with d1 and d2) for each
     different string, to be looked up in other shards."""
-    pdf = pdf.sort_values(["anchor", "c"], kind="stable")
+    pdf = pdf.drop_duplicates(["anchor", "c"]).sort_values(["anchor", "c"], kind="stable")
     data = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
     size = pdf["bytes"].map(len).to_numpy()
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -270,41 +344,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(i, h, s, e): byte spans of keyed documents that repeated strings cover; they may overlap."""
     rows = stored(anchors(docs, length, gram), "suffix-anchors")
-    per = rows.groupBy("anchor", "c").agg(F.sum("times").alias("times"), F.min(F.struct("i", "h", "a", "span")).alias("one"))
-    per = stored(per, "suffix-contexts")
-    whole = rows.join(per.filter("times > 1").select("anchor", "c"), ["anchor", "c"]).select("i", "h", F.col("a").alias("s"), (F.col("b") + length).alias("e"))
-    contested = per.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    total = contested.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out, contested, total = [], [], 0
+    for level in range(LEVELS):
+        per = rows.groupBy("anchor", "c").agg(F.sum("times").alias("times"), F.min(F.struct("i", "h", "a", "span")).alias("one"))
+        per = stored(per, "suffix-contexts")
+        whole = rows.join(per.filter("times > 1").select("anchor", "c"), ["anchor", "c"])
+        out.append(whole.select("i", "h", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
+        several = per.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+        last = level == LEVELS - 1
+        few = F.lit(True) if last else F.col("n") <= SPREAD
+        number, hot = several.agg(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)), F.coalesce(F.count_if(~few), F.lit(0))).first()
+        total += number
+        both = per.join(several, "anchor").select("anchor", "c", "n", (F.col("times") > 1).cast("long").alias("known"), "one.*")
+        contested.append(both.filter(few))
+        if not hot:
+            break
+        todo = both.filter(~few).groupBy("i", "h").agg(F.collect_list(F.struct("a", "span", "anchor", "known")).alias("todo"))
+        rows = stored(finer(docs.join(todo, ["i", "h"]), length, longer(length, gram, level + 1), level + 1), "suffix-anchors")
+    wanted = contested[0]
+    for more in contested[1:]:
+        wanted = wanted.union(more)
     shards = max(1, -(-total // SHARD))
     salt = F.pmod(F.col("c"), F.ceil(F.col("n") / SPREAD))
-    wanted = per.join(contested, "anchor").select(
-        "anchor", "c", (F.col("times") == 1).alias("single"), (F.col("n") > SPREAD).alias("wide"), F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"), "one.*"
-    )
+    wanted = wanted.select("i", "h", "a", "span", "anchor", "c", (F.col("known") == 0).alias("single"), (F.col("n") > SPREAD).alias("wide"), F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.schema.names.index
-            for x, y, data, ends in utf8_slices(batch.column(place("text")), 4 << 20):
-                raw = data.tobytes()
-                out: list[bytes] = []
-                n = []
-                for e, todo in zip(ends.tolist(), batch.column(place("todo"))[x:y].to_pylist(), strict=False):
-                    n.append(len(todo))
-                    out += [raw[e + w["a"] : e + w["a"] + w["span"] + length] for w in todo]
-                flat = batch.column(place("todo"))[x:y].flatten()
-                index = pa.array(np.repeat(np.arange(x, y), n))
-                cols = [batch.column(place("i")).take(index), batch.column(place("h")).take(index), *(flat.field(f) for f in ("a", "anchor", "c", "single", "wide", "shard")), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["i", "h", "a", "anchor", "c", "single", "wide", "shard", "bytes"])
+        for batch, what, at, parts in _todo(batches, length):
+            keys = [batch.column(batch.schema.names.index(k)).take(pa.array(at)) for k in ("i", "h")]
+            cols = [pa.array([w[k] for w in what]) for k in ("a", "anchor", "c", "single", "wide", "shard")]
+            yield pa.RecordBatch.from_arrays([*keys, *cols, pa.array(parts, pa.binary())], names=["i", "h", "a", "anchor", "c", "single", "wide", "shard", "bytes"])
 
     todo = wanted.groupBy("i", "h").agg(F.collect_list(F.struct("a", "span", "anchor", "c", "single", "wide", "shard")).alias("todo"))
-    texts = docs.join(todo, ["i", "h"])
-    pieces = texts.mapInArrow(cut, f"{_KEY}, a long, anchor long, c long, single boolean, wide boolean, shard long, bytes binary")
+    pieces = docs.join(todo, ["i", "h"]).mapInArrow(cut, f"{_KEY}, a long, anchor long, c long, single boolean, wide boolean, shard long, bytes binary")
     found = pieces.groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, length), f"{_SPANS}, d1 long, d2 long, known boolean, shard long")
     found = stored(found, "suffix-found")
+    out.append(found.filter("shard < 0").select("i", "h", "s", "e"))
     wide = found.filter("shard >= 0")
-    ranges = max(1, -(-wide.count() // 500_000))
-    merged = wide.groupBy(F.pmod(F.shiftrightunsigned("d1", 32), F.lit(ranges))).applyInPandas(_merged, _SPANS)
-    return whole.union(found.filter("shard < 0").select("i", "h", "s", "e")).union(merged)
+    number = wide.count()
+    if number:
+        # digests are even, so ranges of them are; none holds more rows than RANGE or a digest in every shard
+        ranges = max(-(-number // RANGE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        out.append(wide.groupBy(F.pmod(F.shiftrightunsigned("d1", 32), F.lit(ranges))).applyInPandas(_merged, _SPANS))
+    every = out[0]
+    for more in out[1:]:
+        every = every.union(more)
+    return every
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -316,7 +400,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     columns are not read; an empty table gives no rows.
     """
     keyed = _keyed(docs)
-    of_row = spans(keyed, length, gram).groupBy("i", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    of_row = spans(keyed, length, gram).groupBy("i", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -413,11 +413,12 @@ def test_suffix_arrays():
         assert (sa.repeated(n) & (sa.left >= n)).tolist() == [len(r) - i >= n and seen[r[i : i + n]] > 1 for r in raw for i in range(len(r))]
 
 
-@pytest.mark.parametrize("spread", [2, 2000])
-def test_removal(spark, monkeypatch, spread):
-    """Short strings over small shards, with anchors dealt to several."""
+@pytest.mark.parametrize(("spread", "levels"), [(2, 1), (2, 2), (2, 3), (2000, 3)])
+def test_removal(spark, monkeypatch, spread, levels):
+    """Short strings over small shards, with anchors split by finer ones and dealt to several."""
     monkeypatch.setattr(suffixes, "SPREAD", spread)
     monkeypatch.setattr(suffixes, "SHARD", 40)
+    monkeypatch.setattr(suffixes, "LEVELS", levels)
     rng = Random(7)
     passage = "".join(rng.choice("abcdé ") for _ in range(60))
     rows = []
@@ -432,11 +433,92 @@ def test_removal(spark, monkeypatch, spread):
 
 
 def test_removal_query(spark, data, docs):
-    got = sorted(tuple(r) for r in queries()["op7_suffix_dedup"](spark, data).collect())
+    rows = queries()["op7_suffix_dedup"](spark, data).collect()
+    got = sorted(tuple(r)[:5] for r in rows)
     raw = sorted((i, t.encode()) for i, t in texts(docs).items())
     assert got == [(i, n, r, s, hashlib.sha256(k).hexdigest()) for i, n, r, s, k in slow_removed(raw, 400)]
 
 
+    kept = {i: k for i, *_, k in slow_removed(raw, 400)}
+    assert all(r["text"] == kept[r["doc_id"]].decode(errors="replace") for r in rows)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_removal_in_groups_of_near_copies(spark, monkeypatch, levels):
+    """Copies that differ in a few places each, and a passage in every text: the anchors' contexts are nearly all different."""
+    monkeypatch.setattr(suffixes, "SPREAD", 8)
+    monkeypatch.setattr(suffixes, "LEVELS", levels)
+    rng = Random(9)
+    one, passage, rows = "".join(rng.choice("abcdefg é") for _ in range(300)), "".join(rng.choice("abcdefg") for _ in range(44)), []
+    for i in range(90):
+        t = list(one)
+        for k in rng.sample(range(300), 1 + i % 5):
+            t[k] = rng.choice("xyzw")
+        rows.append((i, "".join(t)))
+        rows.append((1000 + i, "".join(rng.choice("stuvw") for _ in range(60)) + passage + "".join(rng.choice("stuvw") for _ in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffixes.removed(df, 40, 8).collect())
+    assert got == sorted(slow_removed([(i, t.encode()) for i, t in rows], 40))
+
+
+def test_removal_rows_stay_in_proportion(spark, monkeypatch):
+    """A group of near copies makes rows by the context, not by the byte or the pair."""
+    monkeypatch.setattr(suffixes, "SPREAD", 20)
+    rng = Random(10)
+    one = [f"w{rng.randrange(10**5)}" for _ in range(600)]
+    made = {}
+    stored = suffixes.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", counted)
+    for n in (100, 400):
+        rows = []
+        for i in range(n):
+            t = list(one)
+            t[rng.randrange(600)] = f"x{i}"
+            rows.append((i, " ".join(t)))
+        made.clear()
+        assert suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").count() == n
+        made[n] = made["suffix-anchors"], made["suffix-found"]
+        if n == 400:
+            assert made["suffix-found"] < 20 * n and made["suffix-anchors"] < 100 * n
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "äöüßéèêñçåøæœ"])
+def test_removal_of_planted_passages(spark, letters):
+    """Passages of 50 to 200 words in two texts each: all bytes of those of 400 bytes and more go, shorter
+    ones and texts without one stay as they are."""
+    rng = Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    rows, planted = [], []
+    for k in range(60):
+        p = words(rng.choice((50, 60, 80, 120, 200)))
+        if k % 3 == 0:  # at 400 bytes and just about
+            p = p.encode()[: 399 + k // 3 % 3].decode(errors="ignore")
+            p += "z" * (399 + k // 3 % 3 - len(p.encode()))
+        planted.append(p)
+        rows += [(3 * k, words(40) + f" {k}(" + p + f"){k} " + words(30)), (3 * k + 1, words(10) + f" [{k}" + p + f"{k}] " + words(70)), (3 * k + 2, words(150))]
+    got = {r["doc_id"]: r for r in suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    caught = clean = 0
+    for k, p in enumerate(planted):
+        n = len(p.encode())
+        for i in (3 * k, 3 * k + 1):
+            gone = got[i]["kept"] == text[i].encode().replace(p.encode(), b"")
+            assert gone if n >= 400 else got[i]["n_removed"] == 0
+            caught += gone and n >= 400
+        clean += got[3 * k + 2]["kept"] == text[3 * k + 2].encode()
+    assert caught == 2 * sum(len(p.encode()) >= 400 for p in planted) and clean == 60
+    assert {len(p.encode()) for p in planted} >= {399, 400, 401}
+
+
 def test_removal_edges(none, odd):
     assert suffixes.removed(none).count() == 0 and suffixes.removed(odd).count() == odd.count()
 
