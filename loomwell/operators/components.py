@@ -3,17 +3,47 @@
 Large-star and small-star steps (Kiveris et al., 2014): each step links the
 neighbours of a node to the least of them, so paths halve and a hub's edges are
 spread over their far ends. Steps are separated by checkpoint(), which cuts the
-lineage into the folder that all executors share.
+lineage into the folder that all executors share. A graph that is, or has
+shrunk to, FEW edges is finished by one task, as that takes it no longer than a
+round of small shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.sources.shared import shared_dir
 
 
+#: Edges that one task may finish: a few MB.
+FEW = 50_000
+
+
+def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, v) with v the least node of u's component, by min-label hooking."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    pdf = pd.concat(parts)
+    code, name = pd.factorize(pd.concat([pdf["u"], pdf["v"]]), sort=True)
+    i, j = code[: len(pdf)], code[len(pdf) :]
+    root = np.arange(len(name))
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    on = np.flatnonzero(root != np.arange(len(name)))
+    yield pd.DataFrame({"u": name[on], "v": name[root[on]]})
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One step over (u, v) edges, each with u > v."""
     if small:  # v's are below u: link them, and u, to the least
@@ -39,6 +69,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = both.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(most_rounds):
+        if now.count() <= FEW:
+            now = now.coalesce(1).mapInPandas(_finished, now.schema).checkpoint()
+            break
         now = _star(_star(now, small=False), small=True).checkpoint()
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
