@@ -56,3 +56,20 @@ def utf8_slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, in
 #: Bytes that part words.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+#: 64-bit words of a bitmap.
+BITMAP = 1 << 20
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash ``k``: 8 MB whatever the input. With more keys more of the bits that it has none for are set."""
+    words = keys.select(F.pmod(F.shiftright("k", 6), F.lit(BITMAP)).alias("w"), F.expr("shiftleft(1L, int(k & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITMAP, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(k: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes may be among a bitmap's keys; all that are, and some others."""
+    return (bits[np.mod(k >> 6, BITMAP)] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.common import stored, utf8_slices
+from loomwell.llm.common import bitmap, in_bitmap, stored, utf8_slices
 
 #: Bytes of a string, bytes of an anchor, contested contexts of a shard, contexts of an anchor in one shard,
 #: lengths of anchors that are tried, strings of a range of digests.
@@ -341,6 +341,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _named(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """(i, h, text) of the texts that ``todo`` names, and a few others: no shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(todo.select(F.xxhash64("i", "h").alias("k"))))  # 8 MB, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(batch.column(3).to_numpy(), bits.value)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:3]], names=["i", "h", "text"])
+
+    return docs.select("i", "h", "text", F.xxhash64("i", "h").alias("k")).mapInArrow(run, f"{_KEY}, text string")
+
+
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(i, h, s, e): byte spans of keyed documents that repeated strings cover; they may overlap."""
     rows = stored(anchors(docs, length, gram), "suffix-anchors")
@@ -351,16 +364,15 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         whole = rows.join(per.filter("times > 1").select("anchor", "c"), ["anchor", "c"])
         out.append(whole.select("i", "h", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
         several = per.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-        last = level == LEVELS - 1
-        few = F.lit(True) if last else F.col("n") <= SPREAD
-        number, hot = several.agg(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)), F.coalesce(F.count_if(~few), F.lit(0))).first()
+        both = stored(per.join(several, "anchor").select("anchor", "c", "n", (F.col("times") > 1).cast("long").alias("known"), "one.*"), "suffix-contested")
+        few = F.lit(True) if level == LEVELS - 1 else F.col("n") <= SPREAD
+        number, hot = both.agg(F.count_if(few), F.count_if(~few)).first()
         total += number
-        both = per.join(several, "anchor").select("anchor", "c", "n", (F.col("times") > 1).cast("long").alias("known"), "one.*")
         contested.append(both.filter(few))
         if not hot:
             break
-        todo = both.filter(~few).groupBy("i", "h").agg(F.collect_list(F.struct("a", "span", "anchor", "known")).alias("todo"))
-        rows = stored(finer(docs.join(todo, ["i", "h"]), length, longer(length, gram, level + 1), level + 1), "suffix-anchors")
+        todo = stored(both.filter(~few).groupBy("i", "h").agg(F.collect_list(F.struct("a", "span", "anchor", "known")).alias("todo")), "suffix-todo")
+        rows = stored(finer(_named(docs, todo).join(todo, ["i", "h"]), length, longer(length, gram, level + 1), level + 1), "suffix-anchors")
     wanted = contested[0]
     for more in contested[1:]:
         wanted = wanted.union(more)
