@@ -4,13 +4,14 @@ Each rule looks at a few counts of a document and votes good (1), bad (-1) or
 abstains (0). How often each pattern of votes occurs is counted over all
 documents; expectation-maximisation on that table estimates each rule's
 accuracy and the share of good documents, and the posterior probability of
-quality replaces the demand that all rules pass. The table has at most
-3**rules rows whatever the corpus.
+quality replaces the demand that all rules pass: a bad vote that no other rule
+bears out is outweighed by the good ones. The table has at most 3**rules rows
+whatever the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,12 +103,14 @@ def _in_repeats(which: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Rule:
     """A ratio of counts: up to ``good`` (or from it on, if that is larger) is a
-    vote for good, beyond ``bad`` for bad, between them none."""
+    vote for good, beyond ``bad`` for bad, between them none. ``aspect`` is the
+    kind of bad text that it is made for, together with others."""
 
     name: str
     over: Column
     good: float
     bad: float
+    aspect: str
 
     def vote(self) -> Column:
         yes, no = (self.over <= self.good, self.over > self.bad) if self.good < self.bad else (self.over >= self.good, self.over < self.bad)
@@ -121,14 +124,16 @@ def rules(p: str = "") -> list[Rule]:
         return F.try_divide(F.col(p + a).cast("double"), F.pow(F.col(p + b).cast("double"), F.lit(power)))
 
     return [
-        Rule("repeats", share("n_repeat_words", "n_words"), 0.4, 0.5),
-        Rule("symbols", share("n_symbols", "n_words"), 0.02, 0.12),
-        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.4, 0.6),
-        Rule("capitals", share("n_upper", "n_letters"), 0.12, 0.35),
-        Rule("marks", share("n_marks", "n_words"), 0.05, 0.2),
-        Rule("long_words", share("word_chars", "n_words"), 9.0, 14.0),
-        Rule("short_words", share("word_chars", "n_words"), 3.0, 2.0),
-        Rule("variety", share("n_distinct", "n_words", 0.7), 1.0, 0.6),
+        Rule("repeats", share("n_repeat_words", "n_words"), 0.1, 0.3, "repetition"),
+        Rule("variety", share("n_distinct", "n_words", 0.7), 2.5, 1.5, "repetition"),
+        Rule("distinct", share("n_distinct", "n_words"), 0.6, 0.45, "repetition"),
+        Rule("dup_lines", share("n_dup_lines", "n_lines"), 0.1, 0.3, "repetition"),
+        Rule("symbols", share("n_symbols", "n_words"), 0.02, 0.12, "signs"),
+        Rule("letters", share("n_letters", "word_chars"), 0.93, 0.9, "signs"),
+        Rule("long_words", share("word_chars", "n_words"), 6.0, 7.0, "signs"),
+        Rule("short_words", share("word_chars", "n_words"), 4.6, 4.25, "signs"),
+        Rule("capitals", share("n_upper", "n_letters"), 0.05, 0.2, "shouting"),
+        Rule("marks", share("n_marks", "n_words"), 0.05, 0.2, "shouting"),
     ]
 
 
@@ -159,48 +164,45 @@ def measured(docs: DataFrame, p: str = "", columns: list[str] | None = None) ->
     return df.mapInArrow(run, schema)
 
 
-#: Where the estimate starts. Chances of a bad vote, of none and of a good one: by a rule in its own bad class,
-#: by any rule in another bad class, and in the good class; the share of good documents.
-OWN, OTHER, GOOD, START_GOOD = (0.9, 0.05, 0.05), (0.1, 0.1, 0.8), (0.005, 0.095, 0.9), 0.8
+#: Where the estimate starts. Chances of a bad vote, of none and of a good one: by a rule of the bad class's
+#: aspect, by any other rule in a bad class, and in the good class; the share of good documents; how many
+#: documents' worth of it stay in the estimate.
+OWN, OTHER, GOOD, START_GOOD, WORTH = (0.4, 0.1, 0.5), (0.05, 0.1, 0.85), (0.03, 0.07, 0.9), 0.8, 30.0
 
-#: A rule votes bad in its own bad class at least so often, and in the good class at most so often.
-OWN_LEAST, GOOD_MOST = 0.9, 0.002
 
-
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], aspects: Sequence[str], rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over (votes, documents): the shares of the
     classes, and the chances (class, rule, vote) of each vote given the class.
 
-    Class 0 is good; class 1 + k is bad in the way that rule k is made for, as
-    bad texts of one kind pass the rules made for the others. An abstention is
-    a vote with chances of its own. Bounds on two chances tell the classes
-    apart; ten documents' worth of the start keep rare rules sane.
+    Class 0 is good; the others are bad, one for each aspect in order of first
+    mention, as bad texts of one kind pass the rules made for the others. An
+    abstention is a vote with chances of its own. Nothing holds the chances but
+    WORTH documents of the start, so a rule whose bad votes no other bears out
+    comes to be seen as often wrong, and a useless one as no better than chance.
     """
+    n_rules, kinds = len(aspects), list(dict.fromkeys(aspects))
     votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), n_rules) + 1
     n = np.array([c for _, c in patterns], float)
     cast = (votes[:, :, None] == np.arange(3)).astype(float)
-    r = np.arange(n_rules)
-    start = np.empty((1 + n_rules, n_rules, 3))
-    start[0], start[1:], start[1 + r, r] = GOOD, OTHER, OWN
-    shares = np.concatenate([[START_GOOD], np.full(n_rules, (1 - START_GOOD) / n_rules)])
+    start = np.empty((1 + len(kinds), n_rules, 3))
+    start[0], start[1:] = GOOD, OTHER
+    for r, aspect in enumerate(aspects):
+        start[1 + kinds.index(aspect), r] = OWN
+    shares = np.concatenate([[START_GOOD], np.full(len(kinds), (1 - START_GOOD) / len(kinds))])
     chance = start.copy()
     for _ in range(rounds if len(patterns) else 0):
         w = posteriors(votes, shares, chance) * n[:, None]
-        old, chance = chance, (np.einsum("nc,nrv->crv", w, cast) + 10 * start) / (w.sum(0)[:, None, None] + 10)
-        _bound(chance, 0, r, np.minimum(chance[0, :, 0], GOOD_MOST))
-        _bound(chance, 1 + r, r, np.maximum(chance[1 + r, r, 0], OWN_LEAST))
+        old, chance = chance, (np.einsum("nc,nrv->crv", w, cast) + WORTH * start) / (w.sum(0)[:, None, None] + WORTH)
         shares = (w.sum(0) + 1) / (n.sum() + len(shares))
         if np.abs(chance - old).max() < 1e-9:
             break
     return shares, chance
 
 
-def _bound(chance: np.ndarray, c: int | np.ndarray, r: np.ndarray, bad: np.ndarray) -> None:
-    """Set the chances of a bad vote, and scale those of the other two to the rest."""
-    rest = chance[c, r, 1] + chance[c, r, 2]
-    for v in (1, 2):
-        chance[c, r, v] *= (1 - bad) / rest
-    chance[c, r, 0] = bad
+def accuracies(shares: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """For each rule how often it votes bad on bad documents, and good on good ones."""
+    bad = shares[1:] / shares[1:].sum()
+    return np.stack([bad @ chance[1:, :, 0], chance[0, :, 2]], axis=1)
 
 
 def posteriors(votes: np.ndarray, shares: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -210,16 +212,21 @@ def posteriors(votes: np.ndarray, shares: np.ndarray, chance: np.ndarray) -> np.
     return p / p.sum(1, keepdims=True)
 
 
-def verdicts(counts: DataFrame, p: str = "", keep: float = KEEP) -> dict[str, Column]:
+def estimate(counts: DataFrame, rs: Sequence[Rule]) -> tuple[np.ndarray, np.ndarray]:
+    """``reliabilities`` over all rows of ``counts``."""
+    rows = counts.groupBy(F.concat_ws(",", *[r.vote() for r in rs]).alias("votes")).count().collect()  # at most 3**rules
+    patterns = [(tuple(map(int, r["votes"].split(","))), r["count"]) for r in sorted(rows)]
+    return reliabilities(patterns, [r.aspect for r in rs])
+
+
+def verdicts(counts: DataFrame, p: str = "", keep: float = KEEP, rs: Sequence[Rule] | None = None) -> dict[str, Column]:
     """Expressions over COUNTS for quality (the posterior), base_failed and
     kept, with reliabilities estimated over all rows of ``counts``.
 
     A document without words fails the base and is not kept.
     """
-    rs = rules(p)
-    rows = counts.groupBy(F.concat_ws(",", *[r.vote() for r in rs]).alias("votes")).count().collect()  # at most 3**rules
-    patterns = [(tuple(map(int, r["votes"].split(","))), r["count"]) for r in sorted(rows)]
-    shares, chance = reliabilities(patterns, len(rs))
+    rs = rules(p) if rs is None else rs
+    shares, chance = estimate(counts, rs)
     # a class's odds against the good one are a product over the votes: an expression, no lookup
     against = F.lit(0.0)
     ratio = np.log(chance / chance[0])
@@ -246,9 +253,10 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def filtered(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were. The texts
-    are read twice, once for the estimate and once for the verdicts, and never
-    shuffled."""
+    """The rows of ``docs`` that are kept, all columns as they were, whatever their
+    names. The texts are read twice, once for the estimate and once for the
+    verdicts, and never shuffled. Null and empty texts go; repeated rows are
+    judged alike; an empty table gives no rows."""
     p = own_prefix(docs)
     kept = verdicts(measured(docs, p, []), p, keep)["kept"]
     return measured(docs, p, docs.columns).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
