@@ -7,8 +7,9 @@ With x the inputs, w their weights and V their vectors of a low rank,
     score = sigmoid(w0 + w.x + 1/2 sum_f ((sum_i V_if x_i)**2 - sum_i V_if**2 x_i**2))
 
 so all pairs count in time linear in the inputs. The model is fitted by AdaGrad
-on the driver, on a bounded sample of labelled rows, and is a few MB whatever
-the corpus; scoring is a map over the documents without a shuffle.
+on the driver, on a sample of labelled rows that is bounded both in rows and in
+inputs, and is a few MB whatever the corpus; scoring is a map over the documents
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwell.llm.common import utf8_slices
+from loomwell.llm.common import stored, utf8_slices
 from loomwell.llm.quality_rules import counts_of
 
-#: Hash slots of words, bins of each statistic, rank, labelled rows that are learned from at most.
-SLOTS, BINS, RANK, SAMPLE = 1 << 16, 16, 8, 6_000
+#: Hash slots of words, bins of each statistic, rank, labelled rows that are learned from at most, and all their inputs (8 bytes each) at most.
+SLOTS, BINS, RANK, SAMPLE, BUDGET = 1 << 16, 16, 8, 6_000, 8_000_000
 
 #: From this score on a document is predicted to be good.
 THRESHOLD = 0.7
@@ -114,9 +115,8 @@ class Machine:
                 ex = (e[per] * x).astype(np.float32)
                 used, back = np.unique(at, return_inverse=True)
                 dw = np.bincount(back, ex, len(used)) + l2 * self.weight[used]
-                dv = np.zeros((len(used), self.factor.shape[1]), np.float32)
-                np.add.at(dv, back, ex[:, None] * (s[per] - self.factor[at] * x[:, None].astype(np.float32)))
-                dv += l2 * self.factor[used]
+                of_pair = ex[:, None] * (s[per] - self.factor[at] * x[:, None].astype(np.float32))
+                dv = np.stack([np.bincount(back, of_pair[:, f], len(used)) for f in range(of_pair.shape[1])], axis=1).astype(np.float32) + l2 * self.factor[used]
                 g0 += float(e.sum()) ** 2
                 gw[used] += dw * dw
                 gv[used] += dv * dv
@@ -131,14 +131,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Machine:
-    """Learn from at most ``sample`` labelled rows that aren't held out, those
-    with the least hashes of their ids; null labels and ids don't count, and
-    ids with several labels count once. Without a row the machine scores by its
-    bias alone."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", budget: int = BUDGET) -> Machine:
+    """Learn from at most ``sample`` labelled ids that aren't held out, those
+    with the least hashes, one text for each (that of least hash, if rows repeat
+    an id), in that order as long as all their inputs stay within ``budget``.
+    Null labels and ids don't count, and ids with several labels count once.
+    Without a row the machine scores by its bias alone."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows are broadcast
+    # copies of an id are dropped before the shuffle, so it carries ``sample`` texts of a task at most
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t")).select("doc_id", F.col("t")["text"].alias("text"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot: dict[bytes, int] = {}
@@ -149,8 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
                 lists = [pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(v)) for v in (at.astype(np.int32), x.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b].cast(pa.int32()), *lists], names=["doc_id", "y", "at", "x"])
 
-    found = rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>").toArrow()
-    found = found.sort_by([("doc_id", "ascending")])
+    found = stored(rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(run, "doc_id long, y int, at array<int>, x array<float>"), "labelled")
+    sizes = found.select("doc_id", F.size("at").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").toArrow()  # at most ``sample`` rows
+    fits = np.cumsum(sizes["n"].to_numpy()) <= budget
+    if not fits.all():
+        found = found.filter(F.col("doc_id").isin(sizes["doc_id"].to_numpy()[fits].tolist()))
+    found = found.toArrow().sort_by([("doc_id", "ascending")])
     data = [(np.asarray(a, np.int64), np.asarray(x)) for a, x in zip(found["at"].to_numpy(), found["x"].to_numpy(), strict=True)]
     machine = Machine.new()
     return machine.fit(data, found["y"].to_numpy().astype(float)) if data else machine
