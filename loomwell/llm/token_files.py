@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.llm.common import utf8_slices
@@ -29,6 +29,15 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 SCHEMA = "doc_id long, seq long, n_tokens long, ids array<int>"
 
 
+#: Files whose lengths are summed up by one task.
+FILES = 1024
+
+
+def file_number(name: Column) -> Column:
+    """The range that a file holds: the number in part-00012-..., which outgrows its five digits from 100,000 files on."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Write (doc_id, seq, n_tokens, ids) files in ascending doc_id order.
 
@@ -53,7 +62,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
                 seq += b - a
 
     tie = F.xxhash64("text")
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    # the row's number parts rows alike in id and text, which may be in any order, so that many of them fill many files
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange("doc_id", tie, "row").sortWithinPartitions("doc_id", tie, "row").select("doc_id", "text")
     dealt.mapInArrow(run, SCHEMA).write.mode("errorifexists").options(**ORC).orc(path)
 
 
@@ -70,8 +81,8 @@ def read(spark: SparkSession, path: str, low: int | None = None, high: int | Non
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all rows before it), n_tokens, ids_crc32.
 
-    Starts are prefix sums in two levels: over the files (one row each), then
-    inside a file by ``seq``.
+    Starts are prefix sums in three levels: over blocks of FILES files, over a
+    block's files, then inside a file by ``seq``. An empty folder gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +95,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     df = spark.read.schema(SCHEMA).orc(path)
     rows = df.select(F.col("_metadata.file_name").alias("file"), "seq", "doc_id", "ids").mapInArrow(run, "file string, seq long, doc_id long, n_tokens long, ids_crc32 long")
-    # the range partition of a file is in its name, part-00000-..., so names sort as ids do
-    files = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("of_file"))
-    files = files.select("file", (F.sum("of_file").over(Window.orderBy("file")) - F.col("of_file")).alias("before"))
+    files = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("of_file")).withColumn("number", file_number(F.col("file"))).withColumn("block", F.floor(F.col("number") / FILES))
+    blocks = files.groupBy("block").agg(F.sum("of_file").alias("of_block"))
+    blocks = blocks.select("block", (F.sum("of_block").over(Window.orderBy("block")) - F.col("of_block")).alias("before_block"))  # a row for FILES files
+    in_block = F.sum("of_file").over(Window.partitionBy("block").orderBy("number", "file")) - F.col("of_file")
+    files = files.select("file", "block", in_block.alias("before_file")).join(blocks, "block").select("file", (F.col("before_block") + F.col("before_file")).alias("before"))
     inside = Window.partitionBy("file").orderBy("seq")
     rows = rows.withColumn("at", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(files, "file")
     return rows.select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
