@@ -26,7 +26,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.dedup(table(spark, sf_dir, "documents"))
+    out = simhash.dedup(table(spark, sf_dir, "documents"), simhash.WORDS, simhash.RADIUS)
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -77,9 +77,21 @@ def _op8_sql() -> str:
     bad = " OR ".join(f"full_url GLOB '{g.replace('?', '[?]')}'" if "?" in g else f"full_url GLOB '{g}'" for g in urls.BLOCK)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lower.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
+    # percent-encoded unreserved signs, one by one
+    after = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    plain = (
+        f"list_reduce(list_prepend(split_part({after}, '%', 1), list_transform(string_split({after}, '%')[2:], lambda x: CASE WHEN regexp_matches(x, '^[0-9A-Fa-f]{{2}}') "
+        f"AND contains('{urls.UNRESERVED}', url_decode('%' || x[1:2])) THEN url_decode('%' || x[1:2]) || x[3:] ELSE '%' || x END)), lambda a, b: a || b)"
+    )
+    walk = "list_reduce(string_split(p, '/'), lambda a, x: CASE WHEN x = '.' THEN a WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)"
+    solid = f"{walk} || CASE WHEN regexp_matches(p, '/\\.\\.?$') OR {walk} = '' THEN '/' ELSE '' END"
+    path = f"CASE WHEN p = '' THEN '/' WHEN regexp_matches(p, '/\\.\\.?(/|$)') THEN {solid} ELSE p END"
+    site = r"regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '')"
     return (
-        "WITH u AS (SELECT page_id, " + host + " AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, " + host + " || regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1) AS full_url FROM pages) "
-        f"SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} WHEN {bad} THEN 'block' ELSE 'allow' END AS verdict FROM u"
+        f"WITH u AS (SELECT page_id, url, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {lower.format(plain)} AS t FROM pages), "
+        f"v AS (SELECT *, regexp_extract(t, '(?s)^([^?]*)', 1) AS p, regexp_extract(t, '(?s)^[^?]*(.*)$', 1) AS q FROM u), "
+        f"w AS (SELECT *, CASE WHEN contains(coalesce(url, ''), '://') THEN {site} || {path} || q ELSE '' END AS full_url FROM v) "
+        f"SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} WHEN {bad} THEN 'block' ELSE 'allow' END AS verdict FROM w"
     )
 
 

@@ -11,6 +11,10 @@ follow only the edges within the radius, and only a spanning forest of the
 links found leaves the shard: copies are never expanded into pairs. The trees
 go to the queries of their own shard through the shuffle, not to every
 executor: a broadcast of all trees would grow with the corpus.
+
+A shard with more than SPLIT fingerprints is split by the same argument on the
+36 bits that its key leaves out, which agree on one of 4 blocks of 9, and once
+more on the 27 bits then left.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from xxhash import xxh64_intdigest
 from loomwell.llm.common import own_prefix, stored, utf8_slices
 from loomwell.operators.components import connected_components
 
-#: Words of a shingle, differing bits of a link, seed of XXH64.
+#: Words of a shingle and differing bits of a link in fingerprints of close copies, seed of XXH64.
 WORDS, RADIUS, SEED = 3, 3, 42
 
+#: Fingerprints of a shard from which on it is split by more of their bits.
+SPLIT = 1 << 15
+
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The fingerprint of one whole text, unsigned; 0 without words."""
@@ -42,6 +49,12 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     begins = [0, *ends[: len(parts) - words].tolist()]
     h = np.array([xxh64_intdigest(whole[a:b], SEED) for a, b in zip(begins, (ends[words - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that over half of the hashes have."""
+    h = np.asarray(h, "<u8")
     total = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):  # whole texts, a bounded bit matrix
         total += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -108,13 +121,12 @@ class BKForest:
                 hit = (d <= radius) & (query < node)
                 if hit.any():
                     yield query[hit], node[hit]
-                q, key = np.tile(query, 2 * radius + 1), np.concatenate([node * 65 + d + e for e in range(-radius, radius + 1)])
-                ok = np.concatenate([(d + e >= 0) & (d + e <= 64) for e in range(-radius, radius + 1)])
-                at = np.searchsorted(self.keys, key)
-                at[at == len(self.keys)] = 0
-                ok &= (self.keys[at] == key) if len(self.keys) else False
-                if ok.any():
-                    stack.append((q[ok], self.child[at[ok]]))
+                # children on the edges d - radius to d + radius are neighbours in the sorted keys
+                lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
+                n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - lo
+                if n.any():
+                    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    stack.append((np.repeat(query, n), self.child[at]))
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -135,21 +147,36 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _block(fp: Column, low: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+def _agreeing(rest: Column, bits: int) -> Column:
+    """Of the ``bits`` low bits ``rest`` each of 4 blocks: its number, its bits and, in order, the bits outside."""
+    out, low = [], 0
+    for k in range(4):
+        width = (bits - low) // (4 - k)
+        own = F.shiftrightunsigned(rest, low).bitwiseAND(F.lit((1 << width) - 1))
+        above = F.shiftleft(F.shiftrightunsigned(rest, low + width), low) if low + width < 64 else F.lit(0).cast("long")
+        out.append(F.struct(F.lit(k).cast("long").alias("k"), own.cast("long").alias("own"), above.bitwiseOR(rest.bitwiseAND(F.lit((1 << low) - 1))).alias("rest")))
+        low += width
+    return F.array(*out)
+
+
+def _shards(fp: Column) -> Column:
+    """The 16 shards of a fingerprint: key (first block, its 16 bits, second block, its 12 bits) in a long, and the other 36 bits."""
 
+    def second(x: Column) -> Column:
+        key = lambda y: F.shiftleft(x["k"] * 4 + y["k"], 28).bitwiseOR(F.shiftleft(x["own"], 12)).bitwiseOR(y["own"])
+        return F.transform(_agreeing(x["rest"], 48), lambda y: F.struct(key(y).alias("shard"), y["rest"].alias("rest")))
 
-def shard_keys(fp: Column) -> Column:
-    """The 16 shards of a fingerprint: (first block, its 16 bits, second block, its 12 bits) in a long."""
-    keys = []
-    for b in range(4):
-        head = _block(fp, 16 * b, 16)
-        # the other 48 bits, in their order
-        rest = F.shiftleft(F.shiftrightunsigned(fp, 16 * (b + 1)), 16 * b) if b < 3 else F.lit(0).cast("long")
-        rest = rest.bitwiseOR(fp.bitwiseAND(F.lit((1 << (16 * b)) - 1)))
-        for s in range(4):
-            keys.append(F.lit(((b * 4 + s) << 28)).cast("long").bitwiseOR(F.shiftleft(head.cast("long"), 12)).bitwiseOR(_block(rest, 12 * s, 12).cast("long")))
-    return F.array(*keys)
+    return F.flatten(F.transform(_agreeing(fp, 64), second))
+
+
+def _split(shards: DataFrame, bits: int) -> DataFrame:
+    """(fp, shard, rest), shards of more than SPLIT fingerprints by one more block of their ``bits`` rest."""
+    large = shards.groupBy("shard").count().filter(F.col("count") > SPLIT).select("shard")
+    if large.isEmpty():
+        return shards
+    few = shards.join(large, "shard", "left_anti").select("fp", "shard", "rest")
+    many = shards.join(large, "shard").select("fp", "shard", F.explode(_agreeing(F.col("rest"), bits)).alias("x"))
+    return few.union(many.select("fp", F.xxhash64("shard", "x.k", "x.own").alias("shard"), "x.rest"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -157,7 +184,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct fingerprints ``fp``."""
     if radius > 3:
         raise ValueError("16 shards find links of up to 3 bits")
-    shards = distinct.select("fp", F.explode(shard_keys(F.col("fp"))).alias("shard")).groupBy("shard").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    shards = distinct.select("fp", F.explode(_shards(F.col("fp"))).alias("x")).select("fp", "x.shard", "x.rest")
+    if distinct.count() > SPLIT:
+        shards = _split(_split(shards, 36), 27)
+    shards = shards.groupBy("shard").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,17 +211,26 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root): every distinct fingerprint of ``fps`` that links to another, with its component's least."""
-    edges = stored(links(fps.select("fp").distinct(), radius), "simhash-links")
+    edges = stored(links(stored(fps.select("fp").distinct(), "simhash-distinct"), radius), "simhash-links")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, words: int = 5, radius: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp, component_id, the least doc_id
     among all documents reachable by links. Null ids count as none: a component
     of them alone has a null id. Texts without words have fingerprint 0 and
     link like any other; repeated rows link at distance 0. Other columns are
-    not read; an empty table gives no rows."""
-    fps = stored(fingerprints(docs), "simhash-fps")
+    not read; an empty table gives no rows.
+
+    With ``radius`` fingerprints of ``words``-word shingles link that differ in so
+    many bits or fewer; without it texts link whose sets of shingles have a
+    similarity of 0.8 or more (``near_copies``), which is the operator's default.
+    """
+    if radius is None:
+        from loomwell.llm import near_copies  # which builds on this module
+
+        return near_copies.dedup(docs, words)
+    fps = stored(fingerprints(docs, words=words), "simhash-fps")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(components(fps, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least_of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -224,7 +263,8 @@ def only(docs: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the least (doc_id, text
+    """``docs`` with one row of each component of 3-word fingerprints at most
+    ``radius`` bits apart (``near_copies.kept`` goes by similarity): that of the least (doc_id, text
     hash), nulls last; of rows that repeat both any one. Only ids, hashes and
     fingerprints are compared."""
     fps = stored(fingerprints(docs.select(order_key().alias("doc_id"), "text")), "simhash-fps")

@@ -32,12 +32,15 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Globs over host + path + query that block a page which no rule above covers.
+#: Globs over the canonical URL (host, path and query) that block a page which no rule above covers.
 BLOCK = (
-    "*cheap-pills*", "*casino*", "*viagra*", "*porn*", "*xxx*", "*payday-loan*", "*free-money*", "*replica-watch*",
+    "*cheap-pills*", "*casino*", "*viagra*", "*porn*", "*.xxx/*", "*/xxx/*", "*payday-loan*", "*free-money*", "*replica-watch*",
     "*/wp-login*", "*/cgi-bin/*", "*.exe", "*.zip", "*?sessionid=*", "*?phpsessid=*",
 )
 
+#: Rules that a table may hold: they are part of every task.
+MOST_RULES = 100_000
+
 _CONTINUED = np.arange(0x80, 0xC0)
 
 
@@ -114,18 +117,59 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+#: Signs that mean the same percent-encoded or not (RFC 3986, 2.3), by their codes.
+UNRESERVED = "-.0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz~"
+
+
 def canonical(url: Column) -> Column:
-    """Lower-cased host, path and query, without scheme and fragment."""
-    return F.concat(host_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    """Host, path and query without scheme, user, port and fragment: A-Z in lower
+    case, unreserved signs decoded, ``.`` and ``..`` segments resolved, a final
+    dot of the host gone. A host alone has the path ``/``. Empty for a null URL
+    or one without ``://``."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.coalesce(url, F.lit(""))
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host_of(url), "(?s)^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+    # one pass over the parts between percent signs; two hex digits at a part's beginning are a sign
+    after = F.split(F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*([^#]*)", 1), "%")
+
+    def decoded(acc: Column, part: Column) -> Column:
+        code = F.when(part.rlike("^[0-9A-Fa-f]{2}"), F.conv(F.substring(part, 1, 2), 16, 10).cast("int"))
+        sign = F.when(code.between(0x21, 0x7E), F.chr(code))
+        plain = sign.isNotNull() & F.contains(F.lit(UNRESERVED), sign)
+        return F.concat(acc, F.when(plain, F.concat(sign, F.substring(part, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), part)))
+
+    text = lower(F.when(F.size(after) > 1, F.aggregate(F.slice(after, 2, F.size(after)), F.get(after, 0), decoded)).otherwise(F.get(after, 0)))
+    path, query = F.regexp_extract(text, r"(?s)^([^?]*)", 1), F.regexp_extract(text, r"(?s)^[^?]*(.*)$", 1)
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(part == ".", acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    # a path that ends in a dot segment ends in a slash
+    solid = F.concat(F.array_join(walked, "/"), F.when(F.element_at(parts, -1).isin(".", "..") | (F.size(walked) == 1), "/").otherwise(""))
+    path = F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), solid).otherwise(path)
+    return F.when(F.contains(whole, F.lit("://")), F.concat(host, path, query)).otherwise("")
+
+
+def of_table(rules: DataFrame) -> list[tuple[str, ...]]:
+    """Rules kept as a table, (verdict, host, path) or (glob), for ``judge``: MOST_RULES at most, null rows left out."""
+    rows = [tuple(r) for r in rules.dropna().distinct().limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return sorted(rows)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block: Sequence[str] = BLOCK, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict; no shuffle.
 
-    The longest fitting host and path rule decides; without one, a page that a
-    glob of ``block`` matches is blocked and every other allowed. A null URL or
-    one without ``://`` has an empty host and path, no rule, and is allowed.
-    Columns of those names that are there before are replaced.
+    The longest fitting host and path rule decides, on the URL as it is; without
+    one, a page whose canonical URL a glob of ``block`` matches is blocked and
+    every other allowed. A null URL or one without ``://`` has an empty host and
+    path, no rule, and is allowed. Columns of those names that are there before
+    are replaced; an empty table gives no rows. ``of_table`` reads rules from a
+    table.
     """
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     # a host and path rule is two globs over "host<US>path": the host itself and its subdomains

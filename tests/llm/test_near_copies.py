@@ -3,6 +3,7 @@
 from random import Random
 
 import corpus_pipeline
+import pytest
 from loomwell.llm import near_copies, simhash
 from loomwell.llm.common import table
 
@@ -60,3 +61,28 @@ def test_pipeline_has_no_near_copies(spark, data):
     ids = {r["doc_id"] for r in packed.collect()}
     text = {r["doc_id"]: grams(r["text"].lower()) for r in table(spark, data, "documents").collect() if r["doc_id"] in ids}
     assert len(ids) > 50 and not [(a, b) for a in ids for b in ids if a < b and similarity(text[a], text[b]) >= 0.8]
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_blocks_of_a_large_shard_lose_no_link(spark, monkeypatch, block):
+    """Chains of copies, each a few words from the last, and unlike texts that share a long passage."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng, rows = Random(6), []
+    shared = [f"s{k}" for k in range(150)]
+    for k in range(4):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(12):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    for _ in range(25):
+        rows.append((len(rows), " ".join(shared + [f"y{rng.randrange(10**6)}" for _ in range(rng.choice((10, 30, 60)))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = roots(rows)
+    assert {r["doc_id"] for r in near_copies.kept(df).collect()} == want
+    got = simhash.dedup(df).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == want and all(r["component_id"] <= r["doc_id"] for r in got)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 2, "y"), (2, "a b c", "z", 3, "w")], "doc_id long, text string, sid string, root int, `near.k` string")
+    assert [tuple(r) for r in near_copies.kept(df).collect()] == [(1, "a b c", "x", 2, "y")]
