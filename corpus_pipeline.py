@@ -9,33 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import mixing, near_copies, packing, pii, quality_rules, simhash
-from loomwell.llm.common import scratch, table
+from loomwell.llm import mixing, near_copies, packing, pii, quality_rules
+from loomwell.llm.common import own_prefix, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, null and empty texts among them. As in all
+    stages an empty table stays one, repeated rows are separate documents, texts
+    are read whole and other columns pass through whatever their names."""
     return quality_rules.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group within op3's 3 bits stays; ``mixture`` drops the wider near copies."""
-    return simhash.kept(docs)
+    """One document of each group of near copies (word shingles of five, similarity 0.8) stays: the least id's, nulls last."""
+    return near_copies.kept(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the names of its kinds."""
+    """Personal data gives way to the names of its kinds; null texts stay null."""
     return pii.redacted(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order; of near copies (5-word Jaccard 0.8) one takes part."""
-    return mixing.ordered(mixing.mix(near_copies.kept(docs))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents as often as the mix takes them, in training order; null sources are one source."""
+    return mixing.taken(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of a document with its place in a training sequence."""
-    return packing.pack(packing.pieces(docs))
+    """Each piece of a document with its place in a training sequence; sequence ids
+    rise with the training order, a sequence holds documents of one stretch of it."""
+    place = own_prefix(docs) + "place"
+    return packing.pack(packing.pieces(packing.in_order(docs, place), order=place), order="order").drop("order")
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("pii", personal_data), ("mixing", mixture), ("packing", packed)]
