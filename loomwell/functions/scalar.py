@@ -127,3 +127,45 @@ def add_months_overflowing(ts: Column, months: int) -> Column:
     """'+N months' that lets a day past the month's end run into the next."""
     first = F.trunc(ts, "month")
     return F.date_add(F.add_months(first, months), F.dayofmonth(ts) - 1)
+
+
+def split_mix(seed: int, n: Column) -> Column:
+    """The ``n``-th number (from 1) of a SplitMix64 stream, as a signed long: the
+    generator's state is seed + n times its step, so any place is found without
+    those before it. Products wrap, which a long's bits do by halves."""
+    golden, m1, m2, half = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, F.lit(0xFFFFFFFF)
+
+    def let(x: Column, f) -> Column:
+        """f of x, with x computed once."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def plus(x: Column, y: Column) -> Column:
+        """x + y modulo 2**64, by halves, as a long's overflow is an error."""
+
+        def of(a: Column, b: Column) -> Column:
+            low = a.bitwiseAND(half) + b.bitwiseAND(half)
+            high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32)
+            return let(low, lambda c: F.shiftleft(high + F.shiftrightunsigned(c, 32), 32).bitwiseOR(c.bitwiseAND(half)))
+
+        return let(x, lambda a: let(y, lambda b: of(a, b)))
+
+    def small(u: Column, v: int) -> Column:
+        """u * v modulo 2**64 of two 32-bit numbers, by the halves of v."""
+        return plus(F.shiftleft(u * F.lit(v >> 16), 16), u * F.lit(v & 0xFFFF))
+
+    def times(x: Column, m: int) -> Column:
+        """x * m modulo 2**64."""
+
+        def of(v: Column) -> Column:
+            low, high = v.bitwiseAND(half), F.shiftrightunsigned(v, 32)
+            middle = small(low, m >> 32).bitwiseAND(half) + small(high, m & 0xFFFFFFFF).bitwiseAND(half)
+            return plus(small(low, m & 0xFFFFFFFF), F.shiftleft(middle, 32))
+
+        return let(x, of)
+
+    def mixed(z: Column, by: int) -> Column:
+        return let(z, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, by)))
+
+    signed = seed - (1 << 64) if seed >= 1 << 63 else seed
+    z = plus(F.lit(signed).cast("long"), times(n.cast("long"), golden))
+    return mixed(times(mixed(times(mixed(z, 30), m1), 27), m2), 31)

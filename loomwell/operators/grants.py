@@ -86,3 +86,33 @@ def route_allowed(route: str, cap: dict | None, root: bool) -> bool:
         return False
     held = {v for g in cap["grants"] for v in g["verbs"]}
     return asks in held or (asks == "write" and bool(held & set(WRITES)))
+
+
+def route_gate(route: Column, verbs: Column, root: Column) -> Column:
+    """``route_allowed`` for many requests: the route, the verbs held (null without a token) and whether root asks."""
+    asks = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])[route]
+    held = F.arrays_overlap(verbs, F.array(*map(F.lit, WRITES)))
+    mine = F.when(asks == "root", False).when(asks == "write", held | F.array_contains(verbs, F.lit("write"))).otherwise(F.array_contains(verbs, asks))
+    return F.coalesce(F.when(root, asks.isNotNull()).otherwise(mine), F.lit(False))
+
+
+def signature(body: Column, secret: bytes) -> Column:
+    """HMAC-SHA-256 of a string in lower-case hex, from two hashes over the padded secret."""
+    key = (secret if len(secret) <= 64 else hashlib.sha256(secret).digest()).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in key)), body.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), F.unhex(inner)), 256)
+
+
+def minted(claims: Column, secret: bytes, prefix: str = "cap") -> Column:
+    """Tokens of many claims (JSON text) at once, as ``mint`` makes them of one."""
+    body = F.lower(F.hex(claims.cast("binary")))
+    return F.concat_ws(".", F.lit(prefix), body, signature(body, secret))
+
+
+def verified(token: Column, secret: bytes, now: Column) -> Column:
+    """The claims of many tokens as JSON text; null for those that are malformed, forged or expired."""
+    parts = F.split(token, "[.]")
+    body = F.get(parts, F.lit(1))
+    claims = F.try_to_binary(body, F.lit("hex")).cast("string")
+    good = (F.size(parts) == 3) & (F.get(parts, F.lit(2)) == signature(body, secret)) & (F.get_json_object(claims, "$.exp").cast("long") > now)
+    return F.when(good, claims)

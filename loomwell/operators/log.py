@@ -165,3 +165,23 @@ def durable_view(entries: DataFrame, outcomes: DataFrame, bases: DataFrame | Non
     """Entries that a read past the owner sees: the committed prefix."""
     ends = committed_seq(entries, outcomes, bases).select("object", F.col("seq").alias("end"))
     return entries.join(ends, "object").filter("seq <= end").drop("end")
+
+
+#: Fixed value: bytes above which a batch is staged beside the log.
+STAGE = 96 * 1024
+
+
+def ship(batches: DataFrame, entries: DataFrame) -> DataFrame:
+    """What becomes of each batch on its way to the log: staged, outcome, entries.
+
+    ``batches`` is (batch, bytes, fence, now, leases): leases of all participants
+    held?; ``entries`` (batch, object, expected, seq, drops): the place prewritten, the
+    log's end, and whether the durable content would lose keys. In order: wait for
+    the fence, check the leases, check the content, prewrite by object; the first
+    object that fails names the fault, and its batch clears what it prewrote."""
+    fault = F.when(F.col("drops"), "content").when(F.col("expected") != F.col("seq"), "rebase")
+    per = entries.withColumn("fault", fault).groupBy("batch").agg(F.count("*").alias("n"), F.min(F.when(F.col("fault") == "content", F.struct("object", "fault"))).alias("c"), F.min(F.when(F.col("fault") == "rebase", F.struct("object", "fault"))).alias("r"))
+    first = F.coalesce(F.col("c"), F.col("r"))
+    outcome = F.when(F.col("now") < F.col("fence"), "wait").when(~F.col("leases"), "fenced").when(first.isNotNull(), F.concat(first["fault"], F.lit(" "), first["object"])).otherwise("committed")
+    out = batches.join(per, "batch", "left")
+    return out.select("batch", (F.col("bytes") > STAGE).alias("staged"), outcome.alias("outcome"), F.when(outcome == "committed", F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("entries"))

@@ -114,3 +114,14 @@ def limits(memory: Column, disk: Column) -> Column:
 def shed(objects: DataFrame) -> DataFrame:
     """What stays after idle, clean, unqueued objects are dropped."""
     return objects.filter("not (idle and not dirty and queued = 0)")
+
+
+def edge_route(requests: DataFrame, logical: int) -> DataFrame:
+    """``requests`` (path, objects) with ``worker``: /objects/{id}... goes to the id's hash
+    owner, /txn to that of the first participant in order, /ws?for={id} to the id's;
+    anything else, null, to any."""
+    of_path = F.regexp_extract("path", "^/objects/([^/?]+)", 1)
+    of_socket = F.regexp_extract("path", "^/ws[?](?:.*&)?for=([^&]+)", 1)
+    of_txn = F.when(F.col("path").startswith("/txn"), F.element_at(F.array_sort(F.col("objects")), 1))
+    obj = F.coalesce(F.nullif(of_path, F.lit("")), F.nullif(of_socket, F.lit("")), of_txn)
+    return requests.withColumn("worker", F.when(obj.isNotNull(), default_worker(F.coalesce(obj, F.lit("")), logical)))

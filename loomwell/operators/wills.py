@@ -39,3 +39,9 @@ def fire(wills: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     d = due(wills, now)
     sound = F.try_parse_json("payload").isNotNull() & F.col("payload").startswith("{")
     return d.filter(sound), wills.join(d.select("session"), "session", "left_anti")
+
+
+def closed(wills: DataFrame, closes: DataFrame, polls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean closes (session): the wills that run at once, the wills still armed, and the polls (poll, session) still parked."""
+    gone = closes.select("session").distinct()
+    return wills.join(gone, "session", "left_semi"), wills.join(gone, "session", "left_anti"), polls.join(gone, "session", "left_anti")
