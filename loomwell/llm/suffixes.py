@@ -185,6 +185,16 @@ def finer(texts: DataFrame, length: int, gram: int, salt: int) -> DataFrame:
     return texts.mapInArrow(run, _ROWS)
 
 
+#: Masks that keep the first 0 to 7 bytes of eight.
+_FIRST = np.array([(1 << 64) - (1 << (64 - 8 * k)) if k else 0 for k in range(8)], np.uint64)
+
+
+def _eight(data: np.ndarray, kind: str) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros past the end: a view that takes no memory of its own."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data), kind, padded, strides=(1,))
+
+
 class SuffixArray:
     """Suffixes of some strings laid end to end, each string closed by an end of
     its own that no other string has."""
@@ -192,27 +202,27 @@ class SuffixArray:
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         n = len(data)
         self.data, size = data, np.diff(ends)
-        self.of = np.repeat(np.arange(len(size)), size)
-        self.left = ends[1:][self.of] - np.arange(n)  # bytes of the string from here on
-        key = np.minimum(self.left, 7).astype(np.uint64)  # seven bytes, then how many there were
-        padded = np.append(data, np.zeros(7, np.uint8)).astype(np.uint64)
-        for k in range(7):
-            key |= np.where(self.left > k, padded[k : n + k], np.uint64(0)) << np.uint64(56 - 8 * k)
-        order = np.argsort(key)
-        rank = np.empty(n, np.int64)
-        active, first = self._name(order, key[order], np.zeros(n, np.int64), np.arange(n), rank)
+        self.of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.left = (ends[1:][self.of] - np.arange(n)).astype(np.int32)  # bytes of the string from here on
+        # seven bytes, none beyond the string, then how many there were
+        most = np.minimum(self.left, 7)
+        key = _eight(data, ">u8").astype(np.uint64) & _FIRST[most] | most.astype(np.uint64)
+        order = np.argsort(key).astype(np.int32)
+        rank = np.empty(n, np.int32)
+        active, first = self._name(order, key[order], np.zeros(n, np.int32), np.arange(n, dtype=np.int32), rank)
+        del key, order, most
         depth, strings = 7, len(size)
         while len(active):
             # suffixes that tie in ``depth`` bytes are told apart by the rank of what follows; an end comes before all
             goes_on = self.left[active] > depth
             after = np.where(goes_on, rank[np.minimum(active + depth, n - 1)] + strings, self.of[active])
-            order = np.argsort(first * (n + strings) + after)
+            order = np.argsort(first.astype(np.int64) * (n + strings) + after)
             active, first = active[order], first[order]
             active, first = self._name(active, after[order], first, None, rank)
             depth *= 2
         self.rank = rank
-        self.suffix = np.empty(n, np.int64)
-        self.suffix[rank] = np.arange(n)
+        self.suffix = np.empty(n, np.int32)
+        self.suffix[rank] = np.arange(n, dtype=np.int32)
 
     @staticmethod
     def _name(items: np.ndarray, key: np.ndarray, first: np.ndarray, slot: np.ndarray | None, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +234,7 @@ class SuffixArray:
         group = np.append(True, first[1:] != first[:-1])
         new = group.copy()
         new[1:] |= key[1:] != key[:-1]
-        at = np.arange(n)
+        at = np.arange(n, dtype=np.int32)
         in_group = at - np.maximum.accumulate(np.where(group, at, 0))
         place = first + in_group if slot is None else slot
         place = place[np.maximum.accumulate(np.where(new, at, 0))]
@@ -239,32 +249,31 @@ class SuffixArray:
         one less than the prefix one place before; so only the other places
         are compared byte for byte, eight at a time."""
         n = len(self.data)
-        before = np.full(n, -1, np.int64)
+        before = np.full(n, -1, np.int32)
         before[self.suffix[1:]] = self.suffix[:-1]
         start = np.append(True, self.of[1:] != self.of[:-1]) if n else np.zeros(0, bool)
         b = np.maximum(before, 0)
         fresh = start | (before < 0) | start[b] | (np.append(0, self.data[:-1]) != self.data[b - 1])
+        del b
         at = np.flatnonzero(fresh & (before >= 0))
         most = np.minimum(self.left[at], self.left[before[at]])
-        common = np.zeros(n, np.int64)
-        word = np.zeros(n, np.uint64)
-        padded = np.append(self.data, np.zeros(8, np.uint8)).astype(np.uint64)
-        for k in range(8):
-            word |= padded[k : n + k] << np.uint64(8 * k)
-        done = np.zeros(len(at), np.int64)
+        common = np.zeros(n, np.int32)
+        word = _eight(self.data, "<u8")
+        done = np.zeros(len(at), np.int32)
         go = np.arange(len(at))
         while len(go):
             x = at[go] + done[go]
             differ = word[x] ^ word[before[at[go]] + done[go]]
             # whole bytes that agree: zero bits below the lowest one that is set
             low = differ & (~differ + np.uint64(1))
-            agree = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+            agree = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int32) // 8)
             done[go] += agree
             go = go[(agree == 8) & (done[go] < most[go])]
         common[at] = np.minimum(done, most)
         # the prefix shrinks by one a place until the next fresh one
-        last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        return np.where(before >= 0, common[last] - (np.arange(n) - last), 0)
+        place = np.arange(n, dtype=np.int32)
+        last = np.maximum.accumulate(np.where(fresh, place, 0))
+        return np.where(before >= 0, common[last] - (place - last), 0)
 
     def repeated(self, length: int) -> np.ndarray:
         """Whether the string of ``length`` bytes at each place is elsewhere too."""
