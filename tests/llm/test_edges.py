@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwell.llm import factorisation, index, mixing, packing, pii, quality_rules, simhash, token_files, urls
+from loomwell.llm import factorisation, index, mixing, packing, pii, quality_rules, queries, simhash, token_files, urls
 from loomwell.llm.common import scratch, stored, table
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, mix string, mix_in int, mix_copy int, mix_position int, `full` string, __shard int, `order` string, sequence_id int, spans string, sid int"
@@ -295,3 +295,10 @@ def test_stages_on_empty_and_clashing_tables(spark, data):
             df = stored(stage(spark, df, data), f"edge-{name}")
             assert name == "packing" or df.columns == docs.columns
         assert df.count() >= (0 if docs.isEmpty() else 10)
+
+
+def test_numbers_of_spans(spark, data):
+    """op1's counts are those of its spans."""
+    for r in queries.op1_pii(spark, data).collect():
+        kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [kinds.count(k) for k in pii.KINDS[:4]]
