@@ -5,9 +5,13 @@ txns: txn, objects (array), ops (array of struct<object, sql, ...>)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwell.functions.scalar import valid_id
 from loomwell.operators.components import connected_components
@@ -44,18 +48,22 @@ def revert_closure(parts: DataFrame, reverted: DataFrame) -> DataFrame:
 def boat_cut(items: DataFrame, cap: int) -> DataFrame:
     """``items`` (worker, pos, bytes) with ``aboard``: in order of pos, the first
     always, then each that still fits under ``cap``; later ones are tried after
-    one that doesn't fit. One worker's queue is folded in order, in an
-    expression over its array, as each choice depends on all before."""
-    queue = F.array_sort(F.collect_list(F.struct("pos", "bytes")))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["taken"]) == 0) | (acc["used"] + x["bytes"] <= cap)
-        return F.struct(F.when(fits, acc["used"] + x["bytes"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["taken"], x["pos"])).otherwise(acc["taken"]).alias("taken"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    cut = items.withColumn("pos", F.col("pos").cast("long")).withColumn("bytes", F.col("bytes").cast("long")).groupBy("worker").agg(F.aggregate(queue, zero, step)["taken"].alias("taken"))
-    aboard = cut.select("worker", F.explode("taken").alias("pos")).withColumn("aboard", F.lit(True))
-    return items.join(aboard, ["worker", "pos"], "left").withColumn("aboard", F.coalesce("aboard", F.lit(False)))
+    one that doesn't fit. Each choice depends on all before, so a worker's queue
+    is walked by one task, a batch at a time, in a time that grows with its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker, used = object(), 0
+        for batch in batches:
+            aboard = []
+            for w, n in zip(batch.column("worker").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                first, worker = w != worker, w
+                used = 0 if first else used
+                aboard.append(first or used + (n or 0) <= cap)
+                used += (n or 0) if aboard[-1] else 0
+            yield batch.append_column("aboard", pa.array(aboard, pa.bool_()))
+
+    schema = T.StructType([*items.schema.fields, T.StructField("aboard", T.BooleanType())])
+    return items.repartition("worker").sortWithinPartitions("worker", "pos").mapInArrow(run, schema)
 
 
 def admission(parts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,23 +22,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def watch(changes: DataFrame, query: Callable[[DataFrame], DataFrame], key: str, results: str, checkpoint: str, on_change: bool = True, once: bool = True) -> StreamingQuery:
     """Watch ``query`` over the rows of ``changes`` seen so far.
 
-    ``query`` maps a batch of new rows to (``key``, value) rows. Each batch
-    appends to ``results`` the keys whose value differs from the last one
-    written (``on_change``) or all that are not empty (condition mode).
+    ``query`` maps a batch of new rows to (``key``, value) rows. Each batch adds to
+    ``results`` the keys whose value differs from the last one written
+    (``on_change``) or all that are not empty (condition mode), as the partition
+    ``epoch``, which a batch that is run again replaces. The last values are kept
+    beside the checkpoint, so a batch reads a row for each key and not all results.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = query(batch).select(key, F.col("value").cast("string").alias("value"), F.lit(epoch).alias("epoch"))
+        new = query(batch).select(key, F.col("value").cast("string").alias("value"))
         if on_change:
             try:
-                seen = spark.read.parquet(results).filter(F.col("epoch") < epoch)
-                last = seen.groupBy(key).agg(F.max_by("value", "epoch").alias("was"))
-                new = new.join(last, key, "left").filter(~F.col("value").eqNullSafe(F.col("was"))).drop("was")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                last = spark.read.schema(new.schema).parquet(f"{checkpoint}/last-values/epoch={epoch - 1}")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
                     raise
-        new.write.mode("append").parquet(results)
+                last = new.limit(0)
+            last.join(new.select(key), key, "left_anti").union(new).write.mode("overwrite").parquet(f"{checkpoint}/last-values/epoch={epoch}")
+            new = new.join(last.withColumnRenamed("value", "was"), key, "left").filter(~F.col("value").eqNullSafe(F.col("was"))).drop("was")
+        new.write.mode("overwrite").parquet(f"{results}/epoch={epoch}")
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
