@@ -254,9 +254,9 @@ def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def filtered(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were, whatever their
-    names. The texts are read twice, once for the estimate and once for the
-    verdicts, and never shuffled. Null and empty texts go; repeated rows are
-    judged alike; an empty table gives no rows."""
+    names. The texts are counted once and written with their counts, which costs
+    less than counting them again; they are never shuffled. Null and empty texts
+    go; repeated rows are judged alike; an empty table gives no rows."""
     p = own_prefix(docs)
-    kept = verdicts(measured(docs, p, []), p, keep)["kept"]
-    return measured(docs, p, docs.columns).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(measured(docs, p, docs.columns), "quality-rows")
+    return rows.filter(verdicts(rows, p, keep)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
