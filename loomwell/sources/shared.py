@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The folders of each open ``scratch_space`` of a thread, innermost last.
+_spaces = threading.local()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if open_spaces := getattr(_spaces, "open", None):
+        open_spaces[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """What this thread writes by ``scratch`` and ``stored`` inside goes at the end, so
+    what is read from it has to be written elsewhere by then."""
+    _spaces.open = [*getattr(_spaces, "open", []), []]
+    try:
+        yield
+    finally:
+        *_spaces.open, mine = _spaces.open
+        for path in mine:
+            remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -74,3 +74,19 @@ def test_scalar_dialect(spark):
     df = spark.createDataFrame([("12abc", "NATION_1")], "s string, n string")
     got = df.select(scalar.to_integer(F.col("s")), scalar.glob(F.col("n"), "NA*_[0-4]"), scalar.glob(F.col("n"), "na*"), scalar.quote(F.col("s"), "string"), scalar.int_div(F.lit(-7), F.lit(2)), scalar.int_mod(F.lit(5), F.lit(0)), scalar.add_months_overflowing(F.lit("2024-01-31").cast("date"), 1).cast("string")).first()
     assert tuple(got) == (12, True, False, "'12abc'", -3, None, "2024-03-02")
+
+
+def test_scratch_goes_with_its_space(spark):
+    from loomwell.sources.shared import scratch_space, stored
+
+    kept = stored(spark.range(3), "kept")
+    with scratch_space(spark):
+        a = stored(spark.range(5), "a")
+        with scratch_space(spark):
+            b = stored(spark.range(7), "b")
+            there = [f.split("/")[-2] for f in (*a.inputFiles(), *b.inputFiles())]
+        assert a.count() == 5
+    left = {p.split("/")[-2] for p in kept.inputFiles()}
+    fs = Files(spark, spark.conf.get("spark.checkpoint.dir"))
+    folders = {k.split("/")[0] for k in fs.list()}
+    assert left <= folders and not set(there) & folders and kept.count() == 3
