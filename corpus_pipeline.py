@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm import mixing, near_copies, packing, pii, quality_rules
 from loomwell.llm.common import own_prefix, scratch, table
+from loomwell.sources.shared import remove, scratch_space
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own files and its input go when its rows are written."""
+    df, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, df, sf_dir).write.parquet(path)
+        with scratch_space(spark):
+            stage(spark, df, sf_dir).write.parquet(path)
         df = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return df
