@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions.scalar import default_worker
+from loomwell.operators.prefix import running
 
 
 def owner(objects: DataFrame, exceptions: DataFrame, logical: int) -> DataFrame:
@@ -86,10 +87,12 @@ def chase(hints: DataFrame, start: DataFrame, most: int = 8) -> DataFrame:
 
 def evict(files: DataFrame, budget: int) -> DataFrame:
     """``files`` (worker, file, bytes, touched, cache) with ``evicted``: cache files
-    go, oldest touched first, until what a worker uses fits the budget."""
-    used = F.sum("bytes").over(Window.partitionBy("worker"))
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("worker", "cache").orderBy("touched", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("evicted", F.col("cache") & (used - before > budget))
+    go, oldest touched first, until what a worker uses fits the budget. Files
+    touched at the same time are a bucket of the running sum."""
+    used = files.groupBy("worker").agg(F.sum("bytes").alias("used"))
+    sums = running(files, ["worker", "cache"], F.col("touched"), ["file"], F.col("bytes"), "upto")
+    out = sums.join(used, "worker").withColumn("evicted", F.col("cache") & (F.col("used") - (F.col("upto") - F.col("bytes")) > budget))
+    return out.select(*files.columns, "evicted")
 
 
 def going_home(objects: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwell.functions.scalar import valid_id
 from loomwell.operators.components import connected_components
+from loomwell.operators.prefix import BUCKET, running
 
 
 def validate(txns: DataFrame) -> DataFrame:
@@ -66,18 +67,21 @@ def boat_cut(items: DataFrame, cap: int) -> DataFrame:
     return items.repartition("worker").sortWithinPartitions("worker", "pos").mapInArrow(run, schema)
 
 
-def admission(parts: DataFrame) -> DataFrame:
-    """(object, txn, position) in each object's queue, by arrival."""
-    return parts.withColumn("position", F.row_number().over(Window.partitionBy("object").orderBy("arrival", "txn")))
+def admission(parts: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """(object, txn, position) in each object's queue, by arrival; ``bucket`` is
+    something that rises with the arrival and cuts long queues in parts."""
+    return running(parts, ["object"], F.lit(0) if bucket is None else bucket, ["arrival", "txn"], F.lit(1), "position")
 
 
 def acks(txns: DataFrame, watermark: int) -> DataFrame:
     """``txns`` (worker, seq, bytes, optimistic) with ``ack``: at once while what
     is unshipped before it stays in the watermark, else with the boat; and the
     number of durability barriers up to it."""
-    w = Window.partitionBy("worker").orderBy("seq")
-    dirty = F.sum("bytes").over(w)
-    return txns.withColumn("ack", F.when(F.col("optimistic") & (dirty <= watermark), "at once").otherwise("with the boat")).withColumn("barrier", F.sum((~F.col("optimistic")).cast("long")).over(w))
+    bucket = F.floor(F.col("seq") / BUCKET)
+    both = running(txns, ["worker"], bucket, ["seq"], F.col("bytes"), "dirty")
+    both = running(both, ["worker"], bucket, ["seq"], (~F.col("optimistic")).cast("long"), "barrier")
+    ack = F.when(F.col("optimistic") & (F.col("dirty") <= watermark), "at once").otherwise("with the boat")
+    return both.select(*txns.columns, ack.alias("ack"), "barrier")
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -411,7 +411,7 @@ def tx4_acks(spark, d):
 @code("SELECT l_partkey AS object, l_orderkey AS txn, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS position FROM lineitem")
 def tx5_admission(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("txn"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("arrival"))
-    return txn.admission(li).select("object", "txn", F.col("position").cast("long").alias("position"))
+    return txn.admission(li, F.floor(F.col("txn") / 4096)).select("object", "txn", F.col("position").cast("long").alias("position"))
 
 
 @code("SELECT o_custkey AS object FROM orders GROUP BY o_custkey HAVING max(o_orderkey) > 1000")
