@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -413,6 +414,30 @@ def test_suffix_arrays():
         assert (sa.repeated(n) & (sa.left >= n)).tolist() == [len(r) - i >= n and seen[r[i : i + n]] > 1 for r in raw for i in range(len(r))]
 
 
+def test_a_shard_takes_few_anchors_at_a_time():
+    """A whole shard of contexts, by 400-byte strings in a dictionary; its arrays of suffixes aren't in memory all at once."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(suffixes.SHARD // 2):
+        x, y = rng.bytes(600), rng.bytes(200)
+        rows += [(2 * k, x), (2 * k + 1, x[:420] + y if k % 3 else y + x[:380] + y)]
+    size = sum(len(b) for _, b in rows)
+    columns = {"i": [i for i, _ in rows], "h": 1, "a": 5, "anchor": [i // 2 * 7919 % 1009 * 4001 + i // 2 for i, _ in rows], "c": [i for i, _ in rows], "single": True, "wide": [i % 4 < 2 for i, _ in rows], "shard": 3, "bytes": [b for _, b in rows]}
+    tracemalloc.start()
+    try:
+        got = suffixes._shard(pd.DataFrame(columns), 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 35 * size, peak / size
+    strings = {i: [xxhash.xxh3_64_intdigest(b[s : s + 400]) for s in range(len(b) - 399)] for i, b in rows}
+    count = Counter(x for one in strings.values() for x in one)
+    twice = {i: [s for s, x in enumerate(one) if count[x] > 1] for i, one in strings.items()}
+    known = got[got["shard"] < 0]
+    assert sorted(zip(known["i"], known["s"], known["e"], strict=True)) == [(i, 5 + s[0], 5 + s[-1] + 400) for i, s in twice.items() if s]
+    wide = got[got["shard"] == 3]
+    assert len(wide) == len(set(zip(wide["d1"], wide["d2"], strict=True))) == len({x for i, one in strings.items() if i % 4 < 2 for x in one})
+
+
 @pytest.mark.parametrize(("spread", "levels"), [(2, 1), (2, 2), (2, 3), (2000, 3)])
 def test_removal(spark, monkeypatch, spread, levels):
     """Short strings over small shards, with anchors split by finer ones and dealt to several."""
