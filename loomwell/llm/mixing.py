@@ -167,13 +167,17 @@ def mix(
     return placed.select(*[F.col(f"`{c}`") for c in named], made.alias(name))
 
 
-def ordered(mixed: DataFrame, name: str = "mix") -> DataFrame:
+def ordered(mixed: DataFrame, name: str = "mix", every: bool = False) -> DataFrame:
     """The mix itself: every taken document, as many rows as copies, range-sorted
     by training position, with ``name`` + _copy and ``name`` + _position (columns
-    of those names are renamed)."""
+    of those names are renamed). With ``every``, documents that are not taken
+    have one row too, where their first copy would be."""
     copy, at = f"{name}_copy", f"{name}_position"
     mixed = aside(mixed, copy, at)
-    rows = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns], F.posexplode(F.col(f"`{name}`")["positions"]).alias(copy, at))
+    places = F.col(f"`{name}`")["positions"]
+    if every:
+        places = F.when(F.size(places) > 0, places).otherwise(F.array(F.col(f"`{name}`")["position"]))
+    rows = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns], F.posexplode(places).alias(copy, at))
     return rows.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id", copy)
 
 

@@ -605,6 +605,18 @@ def test_mixing_query_has_the_order(spark, data, docs):
     assert got.filter("position between 0 and 1").count() == docs.count() and got.select("position").distinct().count() > 50
 
 
+def test_mixing_query_is_range_sorted(spark, data, docs):
+    """The method's last step: rows come in training order, and all copies' positions are those of the mix."""
+    got = queries()["op10_mixing"](spark, data)
+    rows = got.collect()
+    assert len(rows) == docs.count() and any(r["copies"] > 1 for r in rows) and any(r["copies"] == 0 for r in rows)
+    assert [(r["position"], r["doc_id"]) for r in rows] == sorted((r["position"], r["doc_id"]) for r in rows)
+    assert "rangepartitioning(" in got._jdf.queryExecution().executedPlan().toString()
+    mix = mixing.ordered(mixing.mix(docs)).select("mix_position", "doc_id", "mix_copy").collect()
+    assert sorted((p, r["doc_id"], k) for r in rows for k, p in enumerate(r["positions"])) == list(map(tuple, mix))
+    assert all(len(r["positions"]) == r["copies"] and r["position"] == min(r["positions"], default=r["position"]) for r in rows)
+
+
 def test_schedules_invert(spark):
     knots = ((0.0, 0.5), (0.5, 0.5), (1.0, 1.5))
     y = [i / 50 for i in range(51)]
