@@ -1022,8 +1022,7 @@ def dm8_replace_run(spark, d):
 @code(BOTH["dm8_returning"])
 def dm8_returning_run(spark, d):
     e = _object(spark, orders=(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), None))
-    out = e.exec("o", "UPDATE orders SET o_custkey = o_custkey + 1 WHERE o_orderstatus = 'P' RETURNING o_orderkey, o_custkey")
-    return spark.createDataFrame([tuple(r.values()) for r in out["rows"]], "o_orderkey long, o_custkey long")
+    return e.exec("o", "UPDATE orders SET o_custkey = o_custkey + 1 WHERE o_orderstatus = 'P' RETURNING o_orderkey, o_custkey", frames=True)["rows"]
 
 
 @code(BOTH["dm8_delete_limit"])
