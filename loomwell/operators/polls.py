@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.operators.prefix import following
+
 
 def result_hash(*cols: Column) -> Column:
     """Order-insensitive hash of a group's rows, for change detection."""
@@ -64,13 +66,17 @@ def ended(polls: DataFrame, events: DataFrame) -> DataFrame:
     """(poll, reason): what ends each poll (poll, conn, object, since) first among
     events (at, kind, conn, object): fire, schema, migrate and revert concern the
     object, cancel and gone the connection, shutdown everyone; null if nothing does.
-    A fire answers, schema is an error, cancel and gone are silent, the others ask for a new poll."""
-    of_object = polls.join(events.filter("kind in ('fire', 'schema', 'migrate', 'revert')").select("object", "at", "kind"), "object")
-    of_conn = polls.join(events.filter("kind in ('cancel', 'gone')").select("conn", "at", "kind"), "conn")
-    stops = events.filter("kind = 'shutdown'").agg(F.collect_set("at").alias("stops"))  # as many as restarts
-    of_all = polls.join(F.broadcast(stops)).withColumn("at", F.explode("stops")).withColumn("kind", F.lit("shutdown"))
-    cols = ["poll", "since", "at", "kind"]
-    first = of_object.select(cols).union(of_conn.select(cols)).union(of_all.select(cols)).filter("at > since").groupBy("poll").agg(F.min(F.struct("at", "kind"))["kind"].alias("kind"))
+    A fire answers, schema is an error, cancel and gone are silent, the others ask for a new poll.
+
+    Places in time are numbers. The first event beyond each is found once for an object, a
+    connection and everyone, so a connection's polls and its events don't multiply."""
+    ends = polls.select("poll", "object", "conn", "since")
+    concerned = {"object": (F.col("object"), ("fire", "schema", "migrate", "revert")), "conn": (F.col("conn"), ("cancel", "gone")), "all": (F.lit(0), ("shutdown",))}
+    for whom, (key, kinds) in concerned.items():
+        marks = events.filter(F.col("kind").isin(*kinds)).select(key.alias("key"), "at", F.col("kind").alias("value"))
+        found = following(polls.select(key.alias("key"), F.col("since").alias("at")), marks).toDF("__key", "__since", f"of_{whom}")
+        ends = ends.join(found, (key == F.col("__key")) & (F.col("since") == F.col("__since")), "left").drop("__key", "__since")
+    first = ends.groupBy("poll").agg(F.min(F.least(*[f"of_{whom}" for whom in concerned]))["value"].alias("kind"))
     reason = F.create_map(*[F.lit(x) for x in ("fire", "answer", "schema", "error", "cancel", "dropped", "gone", "dropped", "migrate", "re-poll", "revert", "re-poll", "shutdown", "re-poll")])
     return polls.select("poll").join(first, "poll", "left").select("poll", reason[F.col("kind")].alias("reason"))
 

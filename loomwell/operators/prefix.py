@@ -1,4 +1,4 @@
-"""Running sums in two levels, so that no task walks all rows of a hot key."""
+"""Running sums and next marks in two levels, so that no task walks all rows of a hot key."""
 
 from __future__ import annotations
 
@@ -24,3 +24,19 @@ def running(df: DataFrame, by: list[str], bucket: Column, order: list[str], valu
     left, right = own.withColumn(i, F.sum(v).over(inside)).alias("rows"), starts.alias("starts")
     same = reduce(lambda x, y: x & y, [F.col(f"rows.{c}").eqNullSafe(F.col(f"starts.{c}")) for c in (*by, b)])
     return left.join(right, same).select(*[F.col(f"rows.{c}") for c in df.columns], (F.col(i) + F.col(f"starts.{s}")).alias(name))
+
+
+def following(asks: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, at, next): for each place of ``asks`` (key, at), once, the first of ``marks`` (key,
+    at, value) of its key that lies beyond it, as a struct of at and the least value there;
+    null if none. Places are numbers; those without a key have no row. Asks and marks
+    never meet as pairs: a window runs over each bucket's places, of which a key has
+    BUCKET at most if they are whole, and one over a key's buckets."""
+    kind = marks.schema["value"].dataType
+    both = asks.select("key", "at", F.lit(None).cast(kind).alias("value"), F.lit(True).alias("ask")).union(marks.select("key", "at", "value", F.lit(False)))
+    places = both.filter("key is not null and at is not null").groupBy("key", F.floor(F.col("at") / BUCKET).alias("bucket"), "at").agg(F.max("ask").alias("ask"), F.min("value").alias("value"))
+    places = places.select("key", "bucket", "at", "ask", F.when(F.col("value").isNotNull(), F.struct("at", "value")).alias("mark"))
+    beyond = lambda c, order, *by: F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    heads = places.groupBy("key", "bucket").agg(F.min("mark").alias("head")).select("key", "bucket", beyond("head", "bucket", "key").alias("later"))
+    inside = places.withColumn("inside", beyond("mark", "at", "key", "bucket")).filter("ask")
+    return inside.join(heads, ["key", "bucket"]).select("key", "at", F.coalesce("inside", "later").alias("next"))

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from loomwell.functions import scalar
-from loomwell.operators import grants, log, placement, txn
+from loomwell.operators import grants, log, placement, polls, txn
 from loomwell.operators.components import connected_components
 from loomwell.sources.blobs import Files, Memory, blobs
 
@@ -90,3 +92,52 @@ def test_scratch_goes_with_its_space(spark):
     fs = Files(spark, spark.conf.get("spark.checkpoint.dir"))
     folders = {k.split("/")[0] for k in fs.list()}
     assert left <= folders and not set(there) & folders and kept.count() == 3
+
+
+def reasons(waiting, stops):
+    """What ends each of (poll, conn, object, since), by looking at every event (at, kind, conn, object)."""
+    says = {"fire": "answer", "schema": "error", "cancel": "dropped", "gone": "dropped", "migrate": "re-poll", "revert": "re-poll", "shutdown": "re-poll"}
+
+    def concerns(p, e):
+        if e[1] in ("cancel", "gone"):
+            return e[2] is not None and e[2] == p[1]
+        return e[1] == "shutdown" or (e[1] in says and e[3] is not None and e[3] == p[2])
+
+    hits = [(p[0], e[0], e[1]) for p in waiting for e in stops if concerns(p, e) and None not in (p[3], e[0]) and e[0] > p[3]]
+    first = {}
+    for poll, at, kind in hits:
+        first[poll] = min(first.get(poll, (at, kind)), (at, kind))
+    return [(p[0], says[first[p[0]][1]] if p[0] in first and p[0] is not None else None) for p in waiting]
+
+
+def test_ends_of_polls_in_python(spark):
+    """Nulls, ties, repeated ids and places, two restarts, gaps of many buckets."""
+    r = random.Random(6)
+    some = lambda *of: None if r.random() < 0.05 else r.choice(of)
+    place = lambda: some(r.randrange(-5, 5), r.randrange(4090, 4100), r.randrange(8191, 8194), r.randrange(10**6), 10**12)
+    kinds = ("fire", "schema", "migrate", "revert", "cancel", "gone", "nothing")
+    waiting = [(some(i, i - 1), some(*range(9)), some(*"abcdefgh", "alone"), place()) for i in range(500)]
+    for n, down in ((150, [9, 8192]), (12, [])):
+        stops = [(place(), r.choice(kinds), some(*range(8)), some(*"abcdefgh")) for _ in range(n)] + [(t, "shutdown", None, None) for t in down]
+        got = polls.ended(spark.createDataFrame(waiting, "poll long, conn int, object string, since long"), spark.createDataFrame(stops, "at long, kind string, conn int, object string"))
+        want = reasons(waiting, stops)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len({x[1] for x in want}) > 3
+    assert polls.ended(spark.createDataFrame([], "poll long, conn int, object string, since long"), spark.createDataFrame(stops, "at long, kind string, conn int, object string")).count() == 0
+
+
+def most_rows(plan):
+    """Rows that the largest step of a plan that ran has made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(plan.executedPlan())
+    own, count = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())], plan.metrics().get("numOutputRows")
+    return max([count.get().value() if count.isDefined() else 0, *map(most_rows, own)])
+
+
+def test_polls_and_events_of_a_connection_do_not_multiply(spark):
+    n = 2000
+    waiting = spark.range(n).selectExpr("id AS poll", "1 AS conn", "2 AS object", "id % 7 AS since")
+    stops = spark.range(n).selectExpr("id + 5 AS at", "CASE WHEN id < 1900 THEN 'nothing' WHEN id % 3 = 0 THEN 'cancel' WHEN id % 3 = 1 THEN 'shutdown' ELSE 'migrate' END AS kind", "1 AS conn", "2 AS object")
+    ended = polls.ended(waiting, stops)
+    assert [tuple(r) for r in ended.groupBy("reason").count().collect()] == [("re-poll", n)]
+    assert len(ended.collect()) == n and most_rows(ended._jdf.queryExecution().executedPlan()) <= 2 * n
